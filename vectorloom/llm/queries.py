@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, substring_dedup, token_counts, warc
+from . import decontamination, packing, quality_rules, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -41,12 +45,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {
+    "op2_decontamination": decontamination.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op10_warc": warc.SQL,
 }
