@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, secret_scan, substring_dedup, token_counts, warc
+from . import decontamination, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -53,11 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_near_dedup": near_dedup.SQL,
     "op10_warc": warc.SQL,
 }
