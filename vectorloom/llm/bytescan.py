@@ -58,7 +58,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _prefix(values: np.ndarray, base: int) -> np.ndarray:
+def prefix(values: np.ndarray, base: int) -> np.ndarray:
+    """Running sums of value * base**i, from 0."""
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
     return out
@@ -98,7 +99,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U)
-        total = _prefix(self.data.astype(U) + U(1), BYTE_BASE)
+        total = prefix(self.data.astype(U) + U(1), BYTE_BASE)
         h = (total[self.end] - total[self.start]) * powers(BYTE_BASE, len(self.data))[1][self.start]
         return mix(h + (self.end - self.start).astype(U) * U(WORD_BASE))
 
@@ -107,7 +108,7 @@ class Words:
         k = len(hashes) - n + 1
         if k <= 0:
             return np.zeros(0, U)
-        total = _prefix(hashes, WORD_BASE)
+        total = prefix(hashes, WORD_BASE)
         return mix((total[n:] - total[:-n]) * powers(WORD_BASE, len(hashes) + 1)[1][:k] + U(n))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,13 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
     Later steps then start from replicated files, so a lost executor costs a reread and
     not a recomputation. The files belong to the run; whoever owns the folder purges it.
+    Shuffle files of finished steps go once the driver collects its garbage, so it is asked to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -7,9 +7,12 @@ each window exactly and yields its first document.
 
 What keeps this within the size of the input:
 
-* Minimisers are counted before any text moves. A window can repeat in another document only
-  if its minimiser does, so super-k-mers with a minimiser of one document never travel.
-* Equal packed strings combine map-side, so thousands of copies reach a bucket as one string.
+* Super-k-mers are known by hashes of their minimiser and their words before any text moves. A
+  window can repeat in another document only if its minimiser does, so super-k-mers whose
+  minimiser one document has alone never travel.
+* Equal super-k-mers combine map-side, and one of them travels for all: thousands of copies
+  reach a bucket as one string. Where a bucket's super-k-mers are all equal, its windows are
+  counted already and no string travels.
 * A bucket with more than ``HOT`` different strings (a passage in endlessly many contexts) is
   split: its strings are cut into single windows that are dealt by the window's own digest and
   combined map-side. Nothing is dropped.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import PRINT, Words, chunks, sliding_min
+from .bytescan import PRINT, U, WORD_BASE, Words, chunks, mix, powers, prefix, sliding_min
 from .shared import spool
 
 WINDOW, MINIMISER = 50, 20
@@ -41,12 +44,16 @@ HOT = 512
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimiser: int = MINIMISER) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text) to (doc_id, th, start, n, key): n windows from word ``start`` on share ``key``."""
+    """(doc_id, th, text) to (doc_id, th, start, n, key, rh).
+
+    n windows from word ``start`` on share the minimiser ``key``; ``rh`` is a hash of all their words.
+    """
     for batch in batches:
         ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         for lo, _, data, offsets in chunks(batch.column(2)):
             w = Words(data, offsets, PRINT)
-            grams = w.windows(minimiser, w.hashes())
+            hashes = w.hashes()
+            grams = w.windows(minimiser, hashes)
             if len(grams) < window - minimiser + 1:
                 continue
             least = sliding_min(grams, window - minimiser + 1)
@@ -63,37 +70,53 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimis
             piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             head = np.repeat(run, parts) + piece * LONGEST
             n = np.minimum(LONGEST, np.repeat(size, parts) - piece * LONGEST)
-            doc = w.doc[at[head]]
+            first = at[head]
+            doc = w.doc[first]
+            total = prefix(hashes, WORD_BASE)
+            words = n + window - 1
+            rh = mix((total[first + words] - total[first]) * powers(WORD_BASE, len(hashes) + 1)[1][first] + words.astype(U))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[lo + doc], pa.int64()),
                     pa.array(ths[lo + doc], pa.int64()),
-                    pa.array((at[head] - w.first[doc]).astype(np.int32)),
+                    pa.array((first - w.first[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                     pa.array(key[head].view(np.int64)),
+                    pa.array(rh.view(np.int64)),
                 ],
-                ["doc_id", "th", "start", "n", "key"],
+                ["doc_id", "th", "start", "n", "key", "rh"],
             )
 
 
 def pack(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, runs) to one packed string for each run."""
-    names = ["key", "packed", "ph", "doc_id", "th", "start"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    """(text, runs) to one row per run: its packed string, or for hot buckets one row per window by digest."""
+    names = ["key", "rh", "packed", "lo", "hi", "wd", "off"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for doc_id, th, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = text.encode().split()
             for r in runs:
-                s = b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1])
-                rows.append((r["key"], s, hashlib.md5(s, usedforsecurity=False).digest(), doc_id, th, r["start"]))
-                held += len(s)
+                own = words[r["start"] : r["start"] + r["n"] + window - 1]
+                if r["hot"]:
+                    for i in range(r["n"]):
+                        wd = hashlib.md5(b" ".join(own[i : i + window]), usedforsecurity=False).digest()
+                        rows.append((r["key"], r["rh"], None, r["lo"], r["hi"], wd, i))
+                    held += 60 * r["n"]
+                else:
+                    s = b" ".join(own)
+                    rows.append((r["key"], r["rh"], s, r["lo"], r["hi"], None, None))
+                    held += len(s)
             if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _batch(rows, kinds, names)
                 rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    if rows:
+        yield _batch(rows, kinds, names)
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def window_slices(packed: bytes, window: int) -> list[bytes]:
@@ -102,18 +125,15 @@ def window_slices(packed: bytes, window: int) -> list[bytes]:
     return [packed[begin[i] : end[i + window - 1]] for i in range(len(begin) - window + 1)]
 
 
-FACT = ["key", "ph", "off", "len", "first_doc"]
+FACT = ["key", "rh", "off", "len", "first_doc"]
 
 
-def bucket_facts(key: int, strings: list[tuple[bytes, bytes, int, int]], window: int) -> list[tuple]:
-    """Runs of windows that more than one document has, by string: (key, ph, off, len, first document).
+def bucket_facts(key: int, strings: list[tuple[int, bytes, int, int]], window: int) -> list[tuple]:
+    """Runs of windows that more than one document has, by string: (key, rh, off, len, first document).
 
-    ``strings``: packed, its digest, least and greatest doc_id that have it.
+    ``strings``: hash of the words, packed, least and greatest doc_id that have it.
     """
-    if len(strings) == 1:  # its windows are counted already
-        s, ph, lo, hi = strings[0]
-        return [(key, ph, 0, s.count(b" ") + 2 - window, lo)] if lo < hi else []
-    spots = sorted((x, k, i) for k, (s, *_) in enumerate(strings) for i, x in enumerate(window_slices(s, window)))
+    spots = sorted((x, k, i) for k, (_, s, *_) in enumerate(strings) for i, x in enumerate(window_slices(s, window)))
     first: list[dict[int, int]] = [{} for _ in strings]
     a = 0
     while a < len(spots):
@@ -127,20 +147,20 @@ def bucket_facts(key: int, strings: list[tuple[bytes, bytes, int, int]], window:
                 first[k][i] = lo
         a = b
     out = []
-    for (_, ph, _, _), of in zip(strings, first, strict=True):
+    for (rh, *_), of in zip(strings, first, strict=True):
         run: list | None = None
         for i in sorted(of):
             if run and run[0] + run[1] == i and run[2] == of[i]:
                 run[1] += 1
             else:
                 run = [i, 1, of[i]]
-                out.append((key, ph, run))
-    return [(key, ph, *run) for key, ph, run in out]
+                out.append((key, rh, run))
+    return [(key, rh, *run) for key, rh, run in out]
 
 
 def count_buckets(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, (key, packed, ph, lo, hi), to facts; holds one bucket at a time."""
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    """Rows sorted by key, (key, rh, packed, lo, hi), to facts; holds one bucket at a time."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     now: int | None = None
     strings: list[tuple] = []
     facts: list[tuple] = []
@@ -152,24 +172,10 @@ def count_buckets(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> It
                 now, strings = key, []
             strings.append(tuple(rest))
         if facts:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*facts, strict=True), kinds, strict=True)], FACT)
+            yield _batch(facts, kinds, FACT)
             facts = []
     if strings and (facts := bucket_facts(now, strings, window)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*facts, strict=True), kinds, strict=True)], FACT)
-
-
-def single_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """The strings of hot buckets as single windows by digest."""
-    names = ["wd", "key", "ph", "off", "lo", "hi"]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            rows = [
-                (hashlib.md5(x, usedforsecurity=False).digest(), key, ph, i, least, most)
-                for key, packed, ph, least, most in zip(*(c.to_pylist() for c in batch.slice(lo, 2000).columns), strict=True)
-                for i, x in enumerate(window_slices(packed, window))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        yield _batch(facts, kinds, FACT)
 
 
 def remove(batches: Iterator[pa.RecordBatch], window: int = WINDOW, with_text: bool = True) -> Iterator[pa.RecordBatch]:
@@ -193,23 +199,27 @@ def remove(batches: Iterator[pa.RecordBatch], window: int = WINDOW, with_text: b
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text) and the spans of windows that an earlier document has."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = spool(d.mapInArrow(super_kmers, "doc_id long, th long, start int, n int, key long"), "runs")
+    runs = spool(d.mapInArrow(super_kmers, "doc_id long, th long, start int, n int, key long, rh long"), "runs")
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
-    todo = runs.join(shared, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
-    packed = spool(
-        d.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(pack, "key long, packed binary, ph binary, doc_id long, th long, start int"),
-        "packed",
-    )
-    strings = packed.groupBy("key", "packed", "ph").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    hot = strings.groupBy("key").count().filter(F.col("count") > HOT).select("key")
-    fact = "key long, ph binary, off int, len int, first_doc long"
-    cold = strings.join(hot, "key", "left_anti").select("key", "packed", "ph", "lo", "hi").repartition("key").sortWithinPartitions("key")
-    single = strings.join(hot, "key", "left_semi").select("key", "packed", "ph", "lo", "hi").mapInArrow(single_windows, "wd binary, key long, ph binary, off int, lo long, hi long")
+    runs = spool(runs.join(shared, "key", "left_semi"), "shared")
+    # One super-k-mer stands for all that are equal; how many different ones a bucket has is known before they travel.
+    equal = runs.groupBy("key", "rh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at"))
+    size = equal.groupBy("key").agg(F.count("*").alias("size"))
+    equal = spool(equal.join(size, "key").select("key", "rh", "lo", "hi", "at.*", "size"), "equal")
+    alone = equal.filter("size = 1 AND lo < hi").select("key", "rh", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("lo").alias("first_doc"))
+    run = F.struct("start", "n", "key", "rh", "lo", "hi", (F.col("size") > HOT).alias("hot"))
+    todo = equal.filter("size > 1").groupBy("doc_id", "th").agg(F.collect_list(run).alias("runs"))
+    packed = d.join(todo, ["doc_id", "th"]).select("text", "runs").mapInArrow(pack, "key long, rh long, packed binary, lo long, hi long, wd binary, off int")
+    packed = spool(packed, "packed")
+    cold = packed.filter("wd IS NULL").select("key", "rh", "packed", "lo", "hi").repartition("key").sortWithinPartitions("key")
+    cold = cold.mapInArrow(count_buckets, "key long, rh long, off int, len int, first_doc long")
+    single = packed.filter("wd IS NOT NULL").select("wd", "key", "rh", "off", "lo", "hi")
     first = single.groupBy("wd").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).filter("first_doc < last_doc")
-    facts = cold.mapInArrow(count_buckets, fact).unionByName(single.join(first, "wd").select("key", "ph", "off", F.lit(1).alias("len"), "first_doc"))
+    hot = single.join(first, "wd").select("key", "rh", "off", F.lit(1).alias("len"), "first_doc")
+    facts = spool(alone.unionByName(cold).unionByName(hot), "facts")
     return (
-        packed.select("key", "ph", "doc_id", "th", "start")
-        .join(facts, ["key", "ph"])
+        runs.select("key", "rh", "doc_id", "th", "start")
+        .join(facts, ["key", "rh"])
         .filter("first_doc < doc_id")
         .groupBy("doc_id", "th")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("at"), "len")).alias("spans"))
