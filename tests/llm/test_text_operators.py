@@ -91,7 +91,7 @@ def test_random_tokens(spark):
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     found = [(i, "key " + "".join(r.choice(b64) for _ in range(48))) for i in range(40)]
     found += [(i, "key " + "".join(r.choice("0123456789ABCDEF") for _ in range(64))) for i in range(40, 80)]
-    prose = ["supercalifragilisticexpialidocious", "A" * 40, "0" * 64, "thequickbrownfoxjumpsoverthelazydog", "0123456789" * 5, "ABCDEF" * 8, "https/en/wiki/Some_long_page_name_here", "------------------------------"]
+    prose = ["supercalifragilisticexpialidocious", "A" * 40, "0" * 64, "itwasthebestoftimesitwastheworstoftimes", "0123456789" * 5, "ABCDEF" * 8, "https/en/wiki/Some_long_page_name_here", "------------------------------"]
     none = [(100 + i, f"see {t} there") for i, t in enumerate(prose)]
     got = {x.doc_id: x.spans for x in secret_scan.query(docs(spark, found + none)).collect()}
     assert sum("random" in got[i] for i, _ in found) >= 76
@@ -115,8 +115,10 @@ def variants(r, n, words, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("side", [256, 3])
-def test_near_duplicates(spark, monkeypatch, side):
+@pytest.mark.parametrize("small,side", [(32, 1024), (2, 7)])
+def test_near_duplicates(spark, monkeypatch, small, side):
+    """The second case takes buckets of three and more through blocks of about seven members."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "SIDE", side)
     r = random.Random(8)
     pairs = [(i, t) for i, t in odd() if i is not None]

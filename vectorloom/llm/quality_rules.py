@@ -4,7 +4,7 @@
 rule. A policy is a versioned mask over those bits, so a verdict or an ablation is integer
 arithmetic on the ledger and never reads a text again.
 
-Everything is a DataFrame expression evaluated inside one projection: no shuffle, no Python.
+Everything is a DataFrame expression over single rows: no shuffle, no Python.
 
 Defined cases: a null text counts as empty (no words, so ``few_words`` fails); a null
 ``doc_id`` is carried through; repeated rows are judged one by one; an empty table gives an
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import once
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -49,35 +51,35 @@ def split_words(text: Column) -> Column:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the measurements, each an exact count over the whole text."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.select("doc_id", "t", split_words(F.col("t")).alias("w"))
+    d = once(d, "doc_id", "t", w=split_words(F.col("t")))
     # Three-word windows sorted with their positions: equal windows become neighbours.
-    d = d.select(
+    d = once(
+        d,
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)).alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.expr(
+        n_words=F.size("w").cast("long"),
+        word_chars=F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)),
+        n_symbols=(F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
+        n_upper=F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long"),
+        lines=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        s=F.expr(
             "CASE WHEN size(w) >= 4 THEN sort_array(transform(sequence(0, size(w) - 3),"
             " i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g, i AS p))) END"
-        ).alias("s"),
+        ),
     )
-    return d.select(
+    return once(
+        d,
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_upper",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(
+        n_lines=F.size("lines").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=F.expr(
             "CASE WHEN s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform("
             "filter(sequence(1, size(s) - 1), i -> s[i].g = s[i - 1].g),"
             " i -> array(s[i - 1].p, s[i - 1].p + 1, s[i - 1].p + 2, s[i].p, s[i].p + 1, s[i].p + 2))))) END"
-        )
-        .cast("long")
-        .alias("n_repeat_words"),
+        ).cast("long"),
     )
 
 

@@ -14,7 +14,7 @@ even; chi-squared of such text grows with length, so short tokens can't reach a
 Discoveries are controlled per document by the Benjamini-Hochberg rule at ``FDR`` with weights
 in proportion to token length. Random spans that overlap a base span are left out.
 
-All of it is DataFrame expressions in one projection: no shuffle and no Python. Documents
+All of it is DataFrame expressions over single rows: no shuffle and no Python. Documents
 without a match, nearly all, stop at one scan per pattern.
 
 Defined cases: a null text is empty (no spans, digest of the empty string); a null ``doc_id`` is
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import once
+
 #: The base patterns, in the order of kinds. Java matches (?i) on ASCII letters only.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -120,32 +122,22 @@ def _tests(c: str) -> str:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, t (the text, never null) and ``spans``: array of (s, e, k, m), k the place in KINDS, by start and kind."""
+    """doc_id, t (the text, never null), ``base`` and all ``spans``: arrays of (s, k, e), k the place in KINDS, by start and kind."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.select(
-        "doc_id",
-        "t",
-        F.expr(f"concat({_find(ASSIGN, 0, 2, VALUE)}, {_find(ACCESS, 1)}, {_find(HEX, 2)})").alias("base"),
-        F.expr(_find(TOKEN, 3)).alias("tokens"),
-    )
+    d = once(d, "doc_id", "t", base=F.expr(f"concat({_find(ASSIGN, 0, 2, VALUE)}, {_find(ACCESS, 1)}, {_find(HEX, 2)})"), tokens=F.expr(_find(TOKEN, 3)))
     d = d.select("doc_id", "t", "base", F.expr("filter(tokens, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))").alias("tokens"))
-    d = d.select("doc_id", "t", "base", F.when(F.size("tokens") > 0, F.expr(_tests("tokens"))).alias("tested"))
+    d = once(d, "doc_id", "t", "base", tested=F.when(F.size("tokens") > 0, F.expr(_tests("tokens"))))
     # Weighted Benjamini-Hochberg within the document: p / weight, sorted, against rank * FDR / m.
     weighted = (
-        "array_sort(transform(tested, x -> struct("
-        "x.p_structured * (aggregate(tested, 0D, (a, y) -> a + y.n) / size(tested)) / x.n AS q, x.s AS s, x.e AS e, x.p_random AS p_random)))"
+        "array_sort(transform(tested, x -> struct(x.p_structured * total / size(tested) / x.n AS q, x.s AS s, x.e AS e, x.p_random AS p_random)))"
     )
-    d = d.select("doc_id", "t", "base", F.when(F.size("tested") > 0, F.expr(weighted)).alias("w"))
-    passed = f"coalesce(array_max(filter(sequence(1, size(w)), i -> w[i - 1].q <= i * {FDR} / size(w))), 0)"
-    found = (
-        f"transform(filter(slice(w, 1, {passed}), x -> x.p_random >= {REJECT}),"
-        " x -> struct(x.s AS s, x.e AS e, 3 AS k, substring(t, x.s + 1, x.e - x.s) AS m))"
-    )
-    more = F.when(F.size("w") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() AS {SPAN})"))
-    return d.select("doc_id", "t", "base", F.array_sort(F.concat("base", more)).alias("spans")).select(
-        "doc_id", "t", F.expr("array_sort(transform(base, x -> struct(x.s AS s, x.k AS k, x.e AS e)))").alias("base"),
-        F.expr("array_sort(transform(spans, x -> struct(x.s AS s, x.k AS k, x.e AS e)))").alias("spans"),
-    )
+    d = once(d, "doc_id", "t", "base", "tested", total=F.expr("aggregate(tested, 0D, (a, y) -> a + y.n)"))
+    d = once(d, "doc_id", "t", "base", w=F.when(F.size("tested") > 0, F.expr(weighted)))
+    passed = F.expr(f"coalesce(array_max(filter(sequence(1, size(w)), i -> w[i - 1].q <= i * {FDR} / size(w))), 0)")
+    d = once(d, "doc_id", "t", "base", "w", passed=F.when(F.size("w") > 0, passed).otherwise(0))
+    more = F.expr(f"CASE WHEN passed > 0 THEN transform(filter(slice(w, 1, passed), x -> x.p_random >= {REJECT}), x -> struct(x.s AS s, 3 AS k, x.e AS e)) ELSE cast(array() AS array<struct<s:int,k:int,e:int>>) END")
+    d = once(d, "doc_id", "t", base=F.expr("array_sort(transform(base, x -> struct(x.s AS s, x.k AS k, x.e AS e)))"), more=more)
+    return once(d, "doc_id", "t", "base", spans=F.array_sort(F.concat("base", "more")))
 
 
 def _listed(c: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,13 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and new ``columns`` that are evaluated once per row.
+
+    The optimizer copies a column's expression into later expressions and filters, even into
+    lambdas, which run it per element. It doesn't look through a generator, and one of a single
+    row costs next to nothing.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
