@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID = 4096, 2
 #: Remainders that wait at most, and those left before more are read.
 POOL, LOW = 256, 128
+#: Chunks remembered per worker since the last turnover, and as many from before it.
 REMEMBER = 300_000
 #: White space of str.split that the pre-tokenizer takes for symbols.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -47,13 +48,14 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         import array
         import sys
 
         out = []
-        for e in self.tok.encode_batch(chunks, add_special_tokens=False):
+        for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
             a = array.array("I", e.ids)
             if sys.byteorder == "big":
                 a.byteswap()
@@ -62,13 +64,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [[t] if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
+        if len(self.known) > REMEMBER:  # frequent chunks come back from the older half
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        for w in {w for ws in words for w in ws}:
+            if w not in known:
+                if (ids := before.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    new.append(w)
         once: dict[str, bytes] = {}
         for w, ids in zip(new, self.chunk_ids(new), strict=True):
-            (self.known if len(w) <= 64 else once)[w] = ids
-        known = self.known
+            (known if len(w) <= 64 else once)[w] = ids
         return [b"".join([known[w] if w in known else once[w] for w in ws]) for ws in words]
 
 
