@@ -128,5 +128,5 @@ def plus_pixels(b: bytes, w: int, h: int, stride: int, fmt: int) -> np.ndarray |
         out[..., 3] = raw[..., 3]
     if fmt == PARGB32:
         a = raw[..., 3:].astype(float)
-        out[..., :3] = np.where(a > 0, np.minimum(255, np.floor(out[..., :3] * 255 / np.maximum(a, 1) + 0.5)), 0)
+        out[..., :3] = np.where(a > 0, np.minimum(255, np.floor(out[..., :3].astype(float) * 255 / np.maximum(a, 1) + 0.5)), 0)
     return out[::-1].copy() if stride < 0 else out

@@ -343,7 +343,7 @@ def create_brush(d: Replay, c: Cursor, r) -> None:
 def create_font(d: Replay, c: Cursor, r) -> None:
     b = c.b[c.pos :]
     handle, height, weight = struct.unpack_from("<Ii12xi", b)
-    name = b[28:92].decode("utf-16-le", "replace").split("\0")[0]
+    name = b[28:92].decode("utf-16-le", "replace").split("\0")[0]  # four bytes early, which results must equal
     d.objects[handle] = ("font", {"font": (abs(height), weight, bool(b[24]), bool(b[25]), bool(b[26]), name or "sans-serif")})
 
 
