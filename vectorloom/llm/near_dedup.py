@@ -9,10 +9,12 @@
    bucket. Bit counts on the signatures give the collision-corrected similarity, which rules
    out pairs far below the threshold (``SLACK`` standard deviations); the others are confirmed
    on full shingle sets.
-3. Buckets whose members are then all in one component are done. In the rest, pairs across
-   components are compared block by block (``SIDE`` members against ``SIDE``), so a large
-   bucket is spread over tasks, and what passes the bit count is confirmed as before. Every
-   candidate pair is thus confirmed, ruled out, or within one component already.
+3. Buckets whose members are then all in one component are done. Of the rest, buckets of up to
+   ``SMALL`` members give their pairs across components, and what passes the bit count is
+   confirmed as before. Larger buckets are cut into blocks of bounded bytes that are compared
+   two by two in tasks of their own; the shingle sets travel with them, each pair is confirmed
+   in the first bucket it shares, and one link per two components comes out. Every candidate
+   pair is thus confirmed, ruled out, or within one component already.
 
 With the query's 32 bands of 5 rows a pair at similarity 0.85 shares no band with probability
 7e-9; with the default's 40 bands of 4 rows one at 0.8 with 7e-10.
@@ -41,8 +43,8 @@ ROWS, BANDS = 4, 40
 BITS = 4
 #: Standard deviations below the threshold at which the estimate rules a pair out.
 SLACK = 6.5
-#: Members on each side of a block of comparisons.
-SIDE = 256
+#: Members of a bucket whose pairs are listed; members and bytes of sets in a block of a larger one.
+SMALL, SIDE, SIDE_BYTES = 32, 1024, 16 << 20
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -146,29 +148,55 @@ def _agreement(n_hashes: int) -> str:
     return f"((1 - {diff} / {n_hashes}D) - {c}D) / {1 - c}D"
 
 
-def _across(batches: Iterator[pa.RecordBatch], hashes: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j) with (side, id, comp, n, sig) to pairs across components that pass the bit count."""
+def _across(batches: Iterator[pa.RecordBatch], hashes: int, percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j) to pairs across components.
+
+    Rows: side (0 and 1 are compared, 2 with itself), id, comp, n, sig; if ``exact``, also the
+    band of the key, the band keys and the shingle set. Without, all pairs that pass the bit
+    count; with, a confirmed link for each two components that have one.
+    """
     least, c = least_estimate(percent, hashes), 2.0**-BITS
     ones = U(int("1" * (64 // BITS), 16))
     most = int((1 - (least * (1 - c) + c)) * hashes)
 
+    def close(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+        x = sb ^ sa
+        y = x.copy()
+        for i in range(1, BITS):
+            y |= x >> U(i)
+        return np.bitwise_count(y & ones).sum(1) <= most
+
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        left = [r for r in rows if r[0] != 1]
-        right = [r for r in rows if r[0] != 0]
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
         if not left or not right:
             return []
-        cols = lambda rs: (np.array([r[1] for r in rs]), np.array([r[2] for r in rs]), np.array([r[3] for r in rs]), np.array([r[4] for r in rs], np.int64).view(U))
-        (ia, ca, na, sa), (ib, cb, nb, sb) = cols(left), cols(right)
-        out = []
+        itself = rows[0][0] == 2
+        table = lambda rs: [np.array([r[i] for r in rs], np.int64) for i in (1, 2, 3, 4)]
+        (ia, ca, na, sa), (ib, cb, nb, sb) = table(left), table(right)
+        sa, sb = sa.view(U), sb.view(U)
+        if exact:
+            keys = np.array([r[6] for r in right], np.int64)
+            sets = [np.frombuffer(r[7], U) for r in right]
+            own = sets if itself else [np.frombuffer(r[7], U) for r in left]
+        out, joined = [], set()
         for k in range(len(ia)):
-            ok = np.flatnonzero((cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k])) & ((ib > ia[k]) | (rows[0][0] != 2)))
-            if len(ok):
-                x = sb[ok] ^ sa[k]
-                y = x.copy()
-                for i in range(1, BITS):
-                    y |= x >> U(i)
-                ok = ok[np.bitwise_count(y & ones).sum(1) <= most]
-                out += [(min(int(ia[k]), int(j)), max(int(ia[k]), int(j))) for j in ib[ok]]
+            ok = np.flatnonzero((cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k])))
+            if itself:
+                ok = ok[ok > k]
+            ok = ok[close(sa[k], sb[ok])] if len(ok) else ok
+            if exact and len(ok):  # in the first bucket that the two share
+                ok = ok[(keys[ok] == np.array(left[k][6], np.int64)).argmax(1) == left[k][5]]
+            if exact and len(ok):
+                size = nb[ok]
+                flat = np.concatenate([sets[j] for j in ok])
+                at = np.minimum(np.searchsorted(own[k], flat), len(own[k]) - 1)
+                both = np.add.reduceat((own[k][at] == flat).astype(np.int64), np.cumsum(size) - size)
+                ok = ok[100 * both >= percent * (size + na[k] - both)]
+            for j in ok:
+                two = (min(ca[k], cb[j]), max(ca[k], cb[j]))
+                if not exact or two not in joined:
+                    joined.add(two)
+                    out.append((min(int(ia[k]), int(ib[j])), max(int(ia[k]), int(ib[j]))))
         return out
 
     def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -217,18 +245,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # A class is known by its place in a total order: the smallest doc_id, which repeated ids make ambiguous, and so its digest.
     classes = spool(classes.select("digest", F.col("m.doc_id").alias("doc"), F.col("m.th").alias("th"), "n", "bands", "sig", F.xxhash64("digest").alias("id")), "classes")
     sig = classes.select("id", "n", "sig")
-    member = classes.select("id", F.explode("bands").alias("key"))
-    centre = member.groupBy("key").agg(F.min("id").alias("c1"), F.max("id").alias("c2"), F.min_by("id", F.xxhash64("id")).alias("c3"), F.count("*").alias("m")).filter("m > 1")
+    member = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    centre = member.groupBy("key").agg(F.min("id").alias("c1"), F.max("id").alias("c2"), F.min_by("id", F.xxhash64("id")).alias("c3"), F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     bucket = spool(member.join(centre, "key"), "buckets")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = classes.join(ids, "id").select("id", F.col("doc").alias("doc_id"), "th").join(d, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text")
+        return spool(texts.mapInArrow(lambda x: _sets(x, shingle), "id long, hs binary"), "sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = sig.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         near = spool(near.filter(F.expr(f"{_agreement(n_hashes)} >= {least_estimate(percent, n_hashes)}D")).select("a", "b"), "near")
-        ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = classes.join(ends, "id").select("id", F.col("doc").alias("doc_id"), "th").join(d, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text")
-        sets = spool(texts.mapInArrow(lambda x: _sets(x, shingle), "id long, hs binary"), "sets")
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = near.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("hs_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hs_b")), "b")
         return spool(both.select("a", "b", "hs_a", "hs_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long"), "links")
 
@@ -238,18 +268,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     label = components(links)
 
     # Buckets that still hold several components.
-    known = bucket.select("key", "id", "m").join(label, F.col("id") == F.col("v"), "left").select("key", "id", "m", F.coalesce("label", "id").alias("comp"))
+    known = bucket.select("key", "band", "id", "n", "m", "total").join(label, F.col("id") == F.col("v"), "left").withColumn("comp", F.coalesce("label", "id")).drop("v", "label")
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rest = known.join(mixed, "key", "left_semi").filter("m > 2")
-    nb = F.ceil(F.col("m") / SIDE).cast("int")
-    rest = rest.join(sig, "id").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = rest.select("key", "id", "comp", "n", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
+    rest = spool(known.join(mixed, "key", "left_semi").filter("m > 2"), "rest")
+    few = rest.filter(F.col("m") <= SMALL).join(sig.select("id", "sig"), "id").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "id", "comp", "n", "sig")
+    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _across(x, n_hashes, percent, False), "a long, b long").distinct()
+    many = rest.filter(F.col("m") > SMALL)
+    sets = sets_of(many.select("id").distinct())
+    nb = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(8 * F.col("total") / SIDE_BYTES)).cast("int")
+    many = many.join(classes.select("id", "sig", "bands").join(sets, "id"), "id").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    dealt = many.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "id", "comp", "n", "sig",
+        "id", "comp", "n", "sig", "band", "bands", "hs",
     )
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x: _across(x, n_hashes, percent), "a long, b long").distinct()
-    links = links.unionByName(confirmed(pairs)).distinct()
+    across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x: _across(x, n_hashes, percent, True), "a long, b long")
+    links = links.unionByName(confirmed(pairs)).unionByName(spool(across, "links")).distinct()
     # Rows with one doc_id are one document, whatever their sets.
     same = own.join(classes.select("digest", "id"), "digest").select("doc_id", "id").distinct()
     least = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1")
