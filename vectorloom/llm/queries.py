@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_decontamination": decontamination.SQL,
     "op3_license_scan": license_scan.SQL,
     "op7_quality_rules": quality_rules.SQL,

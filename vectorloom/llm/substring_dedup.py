@@ -235,3 +235,15 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs, with_text=False).drop("kept_text")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, p, array_to_string(ws[p:p + 49], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS p FROM d)),
+f AS (SELECT g, min(doc_id) AS first_doc FROM w GROUP BY g),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) AS i FROM w JOIN f USING (g) WHERE first_doc < doc_id),
+kept AS (SELECT rid, string_agg(ws[i], ' ' ORDER BY i) AS t FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) ANTI JOIN gone USING (rid, i) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""
