@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spool
+
 #: Licence and the wording of its notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -62,13 +64,13 @@ def notices(files: DataFrame) -> DataFrame:
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """(file, text) to the files with a licence of their own: file, licence, score, line, share.
+    """(file, text) to the files with a licence of their own: file, licence, score, line, n_terms.
 
-    ``file`` must tell rows apart.
+    Rows with one ``file`` are one file.
     """
     spark = files.sparkSession
     tt = template_terms(spark)
-    found = notices(files)
+    found = spool(notices(files).distinct(), "notices")
     term = found.select("file", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     tf = term.groupBy("file", "line", "n", "term").agg(F.count("*").alias("tf"))
     vocabulary = tt.select("term").distinct()
@@ -113,13 +115,15 @@ def query(docs: DataFrame) -> DataFrame:
     """The documents as files ``source/lang/doc_id``."""
     part = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("-")), "/", "_")
     d = docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text")
-    # A row is known by its path and a hash of its text; equal rows have equal results.
-    key = F.struct("path", F.xxhash64("text").alias("th"))
-    got = classify(d.filter(F.col("text").rlike(CUE)).select(key.alias("file"), "text").dropDuplicates(["file"]))
-    got = got.select(F.col("file.path").alias("path"), F.col("file.th").alias("th"), "licence", "score", "n_terms")
+    # A row is known by its path and a hash of its text; equal rows have equal results. Only
+    # texts with a cue go further, and only their notices are shuffled.
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    f = d.withColumn("th", F.xxhash64("text")).join(got, ["path", "th"], "left")
-    f = f.select("doc_id", "path", "licence", "score", F.coalesce(F.col("n_terms") >= FILE_SHARE * n_words, F.lit(False)).alias("is_licence_file"))
+    key = F.struct("path", F.xxhash64("text").alias("th"), n_words.alias("n_words"))
+    got = classify(d.filter(F.col("text").rlike(CUE)).select(key.alias("file"), "text"))
+    share = F.col("n_terms") >= FILE_SHARE * F.col("file.n_words")
+    got = got.select(F.col("file.path").alias("path"), F.col("file.th").alias("th"), "licence", "score", share.alias("is_file"))
+    f = d.select("doc_id", "path", F.xxhash64("text").alias("th")).join(got, ["path", "th"], "left")
+    f = spool(f.select("doc_id", "path", "licence", "score", F.coalesce("is_file", F.lit(False)).alias("is_licence_file")), "files")
     return inherit(f).select("doc_id", "path", "licence", "score", "is_licence_file", "effective", "inherited_from")
 
 
