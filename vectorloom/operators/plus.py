@@ -131,8 +131,9 @@ def pen(b: bytes) -> dict | None:
     if len(b) < 20:
         return None
     try:
-        c = Cursor(b, 8)
-        flags, _, width = c.take("IIf")
+        # Without a version word the flags come first; the width keeps its place.
+        flags, c = struct.unpack_from("<I", b, 8 if versioned(struct.unpack_from("<I", b)[0]) else 4)[0], Cursor(b, 16)
+        width = c.take("f")
         style = 0
         for bit, fmt in PEN_FIELDS:
             if not flags & bit:

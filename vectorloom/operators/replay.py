@@ -444,21 +444,19 @@ def _ellipse(d: Replay, l, t, r, b) -> None:  # noqa: E741
 
 
 def _arc(d: Replay, kind: str, l, t, r, b, sx, sy, ex, ey) -> None:  # noqa: E741
-    x0, y0, x1, y1 = _box(d, l, t, r, b)
-    cx, cy, rx, ry = (x0 + x1) / 2, (y0 + y1) / 2, abs(x1 - x0) / 2, abs(y1 - y0) / 2
-    angle = lambda x, y: math.atan2((d.gy(y) - cy) / (ry or 1), (d.gx(x) - cx) / (rx or 1))
-    a, z = angle(sx, sy), angle(ex, ey)
-    if z <= a:
-        z += 2 * math.pi
-    start = [cx + rx * math.cos(a), cy + ry * math.sin(a)]
-    arc = ("A", [cx, cy, rx, ry, a, z, 1.0])
+    ox, oy, w, h = (l + r) / 2, (t + b) / 2, abs(r - l) / 2, abs(b - t) / 2
+    # Angles are taken before mapping, and arcs run clockwise.
+    a, z = (math.atan2((y - oy) / (h or 1), (x - ox) / (w or 1)) for x, y in ((sx, sy), (ex, ey)))
+    z += 2 * math.pi if z < a else 0
+    cx, cy, rx, ry = d.gx(ox), d.gy(oy), abs(d.gw(w)), abs(d.gh(h))
+    start, arc = [cx + rx * math.cos(a), cy + ry * math.sin(a)], ("A", [cx, cy, rx, ry, a, z, 1.0])
     if kind == "to":
-        geom = [("M", d.pt(d.s.x, d.s.y)), ("L", start), arc]
+        geom = [("L" if d.in_path else "M", start), arc]
         d.s = replace(d.s, x=ex, y=ey)
     elif kind == "pie":
         geom = [("M", [cx, cy]), ("L", start), arc, ("Z", [])]
     else:
-        geom = [("M", start), arc, *([("Z", [])] if kind == "chord" else [])]
+        geom = [*([] if d.in_path else [("M", start)]), arc, *([("Z", [])] if kind == "chord" else [])]
     d.draw(geom, filled=kind in ("pie", "chord"))
 
 
@@ -489,7 +487,8 @@ WMF_HANDLERS |= {
 
 def _poly(d: Replay, pts: list, kind: str, to: bool) -> None:
     p = [d.pt(*q) for q in pts]
-    head: list[clip.Command] = [] if to and d.in_path else [("M", d.pt(d.s.x, d.s.y) if to else p[0])]
+    # Outside a bracket there is no current figure to continue, so one starts at the first point.
+    head: list[clip.Command] = [] if to and d.in_path else [("M", p[0])]
     body = p if to else p[1:]
     if kind == "bezier":
         body_cmds = [("C", [v for q in body[i : i + 3] for v in q]) for i in range(0, len(body) - 2, 3)]
@@ -694,7 +693,7 @@ def _object(d: Replay, c: Cursor, r) -> None:
             d.partial = (ident, kind, total, [data[4:]]) if total <= K.MAX_OBJECT else None
         return
     if d.partial and d.partial[:2] == (ident, kind):
-        data = b"".join([*d.partial[3], data])[: d.partial[2]]
+        data = b"".join([*d.partial[3], data])[: d.partial[2]].ljust(d.partial[2], b"\0")
         d.partial = None
     if kind in plus.PARSERS and (got := plus.PARSERS[kind](data)) is not None:
         d.plus_objects[ident] = got
