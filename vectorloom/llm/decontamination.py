@@ -231,7 +231,10 @@ def query(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFr
 
 
 def keep(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns; for use as a pipeline stage."""
+    """The documents that aren't contaminated, with their own columns; for use as a pipeline stage.
+
+    Rows that share a ``doc_id`` go together; rows without one stay.
+    """
     bad = query(docs, items, block_bytes).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad_doc_id")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("_bad_doc_id"), "left_anti")
 

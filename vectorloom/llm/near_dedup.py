@@ -302,7 +302,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, **params) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns."""
+    """One document of each component, the one with the smallest doc_id, with its own columns.
+
+    Rows that share a ``doc_id`` stay or go together; rows without one stay.
+    """
     gone = near_duplicates(docs, **params).filter("NOT kept").select(F.col("doc_id").alias("_gone_doc_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone_doc_id"), "left_anti")
 
