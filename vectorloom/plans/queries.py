@@ -344,3 +344,43 @@ def data_url(spark, d):
 def utf16_text(spark, d):
     raw = F.encode(F.concat("c_name", F.lit("\0junk")), "UTF-16LE")
     return t(spark, d, "customer").select("c_custkey", S.utf16(raw).alias("face"))
+
+
+# Ordered folds and recursion
+
+
+@query("""SELECT user_id, m.a AS a, m.b AS b FROM (
+  SELECT user_id, list_reduce(list({'a': 1.0::DOUBLE + (event_id % 3) / 8.0::DOUBLE, 'b': (event_id % 7)::DOUBLE} ORDER BY event_id),
+    lambda p, x: {'a': p.a * x.a, 'b': p.a * x.b + p.b}) AS m FROM events WHERE event_id % 4 = 0 GROUP BY user_id)""")
+def affine_prefix_product(spark, d):
+    """Composition of a stream's transforms, in order."""
+    step = F.struct("event_id", (1 + F.col("event_id") % 3 / 8.0).alias("a"), (F.col("event_id") % 7).cast("double").alias("b"))
+    per = t(spark, d, "events").filter("event_id % 4 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("x"))
+    fold = "aggregate(x, struct(1D AS a, 0D AS b), (p, m) -> struct(p.a * m.a AS a, p.a * m.b + p.b AS b))"
+    return per.select("user_id", F.expr(fold).alias("m")).select("user_id", "m.a", "m.b")
+
+
+NESTED = """WITH RECURSIVE r(node, depth) AS (
+  SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey < 2
+  UNION ALL SELECT n.n_nationkey, r.depth + 1 FROM r JOIN {nation} n ON n.n_nationkey >= 2 AND CAST(floor(n.n_nationkey / 2.0) AS INT) = r.node WHERE r.depth < 3)
+SELECT node, depth FROM r"""
+
+
+@query(NESTED.format(nation="nation"))
+def embedded_depth(spark, d):
+    """Nesting through parents, cut at three levels."""
+    return spark.sql(NESTED, nation=t(spark, d, "nation"))
+
+
+@query("SELECT 'emf' AS stream, 'unhandled record type ' || (200 + n_regionkey) AS message, count(*) AS n FROM nation GROUP BY ALL")
+def diagnostics_by_message(spark, d):
+    """One EMF per nation with a record of an unknown type, numbered by its region."""
+    from ..operators.diagnostics import diagnostics
+
+    def build(batches):
+        for b in batches:
+            out = [encode.emf([encode.emf_record(200 + k), encode.eof()]) for k in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+
+    files = t(spark, d, "nation").select("n_nationkey", "n_regionkey").mapInArrow(build, "path string, content binary")
+    return diagnostics(with_headers(files)).groupBy("stream", "message").agg(F.count("*").alias("n"))

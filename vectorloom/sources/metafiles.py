@@ -67,10 +67,14 @@ def wmf_header(content: Column) -> Column:
 def with_headers(files: DataFrame, options: Options | None = None) -> DataFrame:
     """Adds kind, bounds, header_size, canvas_w and canvas_h; null bounds where a file can't be rendered."""
     o = options or Options()
-    f = files.withColumn("kind", kind(F.col("content"), F.col("path")))
-    f = f.withColumn("emf", F.when(F.col("kind") == "emf", emf_header(F.col("content")))).withColumn("wmf", F.when(F.col("kind") == "wmf", wmf_header(F.col("content"))))
-    f = f.withColumn("bounds", F.when(F.col("kind") == "emf", renderable(F.col("emf"))).otherwise(F.col("wmf.bounds")))
-    w, h = F.col("bounds.right") - F.col("bounds.left"), F.col("bounds.bottom") - F.col("bounds.top")
-    f = f.withColumn("bounds", F.when((w > 0) & (h > 0), F.col("bounds")))
-    cw, ch = canvas_size(w, h, F.lit(o.max_width), F.lit(o.max_height), F.lit(float(o.dpi_scale)), o.max_canvas_dimension)
-    return f.select("path", "content", "kind", "bounds", F.coalesce("wmf.header_size", F.lit(0)).alias("header_size"), cw.alias("canvas_w"), ch.alias("canvas_h"))
+    # Generators of one row keep the header's byte reads from being copied into every later expression.
+    one = lambda df, *keep, **c: df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    content = F.col("content")
+    f = one(files, "path", "content", kind=kind(content, F.col("path")))
+    f = one(f, "path", "content", "kind", emf=F.when(F.col("kind") == "emf", emf_header(content)), wmf=F.when(F.col("kind") == "wmf", wmf_header(content)))
+    bounds = F.when(F.col("kind") == "emf", renderable(F.col("emf"))).otherwise(F.col("wmf.bounds"))
+    f = one(f, "path", "content", "kind", b=bounds, header_size=F.coalesce("wmf.header_size", F.lit(0)))
+    w, h = F.col("b.right") - F.col("b.left"), F.col("b.bottom") - F.col("b.top")
+    f = one(f, "path", "content", "kind", "header_size", bounds=F.when((w > 0) & (h > 0), F.col("b")), w=w, h=h)
+    cw, ch = canvas_size(F.col("w"), F.col("h"), F.lit(o.max_width), F.lit(o.max_height), F.lit(float(o.dpi_scale)), o.max_canvas_dimension)
+    return f.select("path", "content", "kind", "bounds", "header_size", cw.alias("canvas_w"), ch.alias("canvas_h"))
