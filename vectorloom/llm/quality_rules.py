@@ -92,7 +92,8 @@ def _fails() -> dict[str, Column]:
         "word_length": (c("word_chars") < 2 * n) | (c("word_chars") > 20 * n),
         # More than one marking symbol for every five words.
         "symbols": 5 * c("n_symbols") > n,
-        "duplicate_lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
+        # More than half of the lines repeat an earlier one.
+        "duplicate_lines": 2 * c("n_dup_lines") > c("n_lines"),
         "capitals": 10 * c("n_upper") > 5 * c("word_chars"),
     }
 
@@ -181,7 +182,7 @@ b AS (
           + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
           + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 4 ELSE 0 END
           + CASE WHEN 5 * n_symbols > n_words THEN 8 ELSE 0 END
-          + CASE WHEN 10 * (len(lines) - len(list_distinct(lines))) > 3 * len(lines) THEN 16 ELSE 0 END
+          + CASE WHEN 2 * (len(lines) - len(list_distinct(lines))) > len(lines) THEN 16 ELSE 0 END
           + CASE WHEN 10 * n_upper > 5 * word_chars THEN 32 ELSE 0 END)::INTEGER AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
