@@ -172,3 +172,16 @@ def test_licenses(spark):
     tree = spark.createDataFrame([("a/LICENSE", "MIT", True), ("a/b/c/x", None, False), ("a/b/LICENSE", "GPL-3.0", True), ("a/d/x", None, False), ("e/x", None, False)], "path string, licence string, is_licence_file boolean")
     assert {r.path: (r.effective, r.inherited_from) for r in license_scan.inherit(tree).collect()} == {
         "a/LICENSE": ("MIT", None), "a/b/c/x": ("GPL-3.0", "a/b"), "a/b/LICENSE": ("GPL-3.0", None), "a/d/x": ("MIT", "a"), "e/x": (None, None)}
+
+
+def test_full_licence_texts(spark):
+    text = {i: (license_scan.TEXTS / f"{i}.txt").read_text() for i in ("MIT", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC-BY-NC-4.0")}
+    mit = "MIT License\n\nCopyright (c) 2019 Some Body <some@body.example>\n\n" + " ".join(text["MIT"].split())
+    files = [(1, mit, "en", "a"), (2, "no word of it", "en", "a"), (3, text["GPL-2.0"], "en", "b"), (4, text["MPL-2.0"].lower(), "en", "c"), (5, text["CC-BY-NC-4.0"], "en", "d"), (6, text["GPL-3.0"], "en", "e")]
+    files += [(7, "some code " * 2000 + text["MIT"], "en", "f")]
+    d = spark.createDataFrame(files, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in license_scan.query(d).collect()}
+    assert {i: (r.licence, r.is_licence_file) for i, r in got.items() if i not in (2, 7)} == {
+        1: ("MIT", True), 3: ("GPL-2.0", True), 4: ("MPL-2.0", True), 5: ("CC-BY-NC-4.0", True), 6: ("GPL-3.0", True)}
+    assert (got[2].licence, got[2].effective, got[2].inherited_from) == (None, "MIT", "a/en")
+    assert not got[7].is_licence_file

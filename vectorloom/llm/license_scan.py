@@ -1,15 +1,23 @@
-"""License scans: TF-IDF cosine of notices to templates, then inheritance along directories.
+"""License scans: TF-IDF cosine of texts and notices to templates, then inheritance along directories.
+
+A file's whole text (all its words but those of copyright lines) is compared with the full texts
+in ``licences/``, weighted by inverse document frequency over the texts with a cue word and the
+full texts. At a cosine of ``WHOLE`` or more the file has the best one's licence and is a licence
+file. The full texts of related licences (GPL-2.0, ISC, ...) are there so that none is taken
+for a neighbour.
 
 A notice is a line of a whole text with a cue word. Its words form a sparse vector weighted by
 inverse document frequency over all notices of the table; its licence is the template with the
-largest cosine of ``LEAST`` or more. A file whose best notice makes up ``FILE_SHARE`` of its words
-is a licence file, and stands for its directory. A file without a licence of its own takes that
+largest cosine of ``LEAST`` or more. A file that is no full text is still a licence file if its best
+notice makes up ``FILE_SHARE`` of its words, as in ``SQL``, which states the notices only.
+
+A licence file stands for its directory. A file without a licence of its own takes that
 of the nearest directory above it which has one.
 
 DataFrame operations only. Frequencies are counted over all notices but kept for the templates'
 terms alone, so what comes to the driver and is joined by broadcast is fixed by the templates;
-any other term has the weight of an unseen one. Notices are exploded into words, texts are not.
-Directories are resolved once each, so a directory with a third of all files is one row until the
+any other term has the weight of an unseen one. Notices and texts with a cue word are exploded
+into words, other texts are not. Directories are resolved once each, so a directory with a third of all files is one row until the
 last equi-join, which adaptive execution splits.
 
 Defined cases: a null text has no notice; null path parts read as ``-``; of several best notices
@@ -19,6 +27,9 @@ directory the smallest path; repeated rows are scanned one by one; other columns
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +50,10 @@ CUE = r"(?i)licen[sc]|copyright|spdx-|redistribution and use"
 #: Lower-cased words of a notice.
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST, FILE_SHARE = 0.6, 0.2
+#: Full texts by licence; lines that name the holder are no part of a text.
+TEXTS = Path(__file__).parent / "licences"
+HOLDER = r"(?im)^[^a-z0-9\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved).*$"
+WHOLE = 0.8
 
 
 def _words(x: Column) -> Column:
@@ -56,6 +71,33 @@ def template_terms(spark) -> DataFrame:
     return t.select("licence", F.explode(_words(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """licence, words of its full text."""
+    return [(f.stem, " ".join(re.findall(WORD, re.sub(HOLDER, "", f.read_text()).lower()))) for f in sorted(TEXTS.glob("*.txt"))]
+
+
+def whole(files: DataFrame) -> DataFrame:
+    """(file, text) to the files whose whole text is a licence's: file, licence, score."""
+    spark = files.sparkSession
+    texts = full_texts()
+    tt = _rows(spark, texts, "licence, words").select("licence", F.explode(F.split("words", " ")).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    found = files.filter(F.col("text").rlike(CUE)).select("file", F.explode(_words(F.regexp_replace("text", HOLDER, ""))).alias("term"))
+    found = spool(found.groupBy("file", "term").agg(F.count("*").alias("tf")), "words")
+    n = float(found.select("file").distinct().count() + len(texts) + 1)
+    own = tt.groupBy("term").agg(F.count("*").alias("df"))
+    df = found.join(F.broadcast(own.select("term")), "term").groupBy("term").agg(F.count("*").alias("more"))
+    idf = own.join(F.broadcast(df), "term", "left").select("term", (F.log(F.lit(n) / (F.col("df") + F.coalesce("more", F.lit(0)) + 1)) + 1).alias("idf"))
+    w = tt.join(F.broadcast(idf), "term").select("licence", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = w.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    by = F.array(*[F.coalesce(F.sum(F.when(F.col("licence") == lic, F.col("w") / F.col("norm"))), F.lit(0.0)) for lic, _ in texts])
+    weights = spool(w.join(F.broadcast(norms), "licence").groupBy("term", "idf").agg(by.alias("by")), "weights")  # the full texts' terms
+    v = found.join(F.broadcast(weights), "term", "left").select("file", "by", (F.col("tf") * F.coalesce("idf", F.log(F.lit(n)) + 1)).alias("w"))
+    dots = [F.coalesce(F.sum(F.col("w") * F.col("by")[i]), F.lit(0.0)).alias(f"dot_{i}") for i in range(len(texts))]
+    scored = v.groupBy("file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    best = F.least(*[F.struct(F.round(-F.col(f"dot_{i}") / F.col("norm"), 6).alias("s"), F.lit(lic).alias("licence")) for i, (lic, _) in enumerate(texts)])
+    return scored.select("file", best.alias("b")).filter(F.col("b.s") <= -WHOLE).select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+
+
 def notices(files: DataFrame) -> DataFrame:
     """file (any key), line, terms: the lines with a cue, of whole texts."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda x: x.s.rlike(CUE))
@@ -119,9 +161,11 @@ def query(docs: DataFrame) -> DataFrame:
     # texts with a cue go further, and only their notices are shuffled.
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     key = F.struct("path", F.xxhash64("text").alias("th"), n_words.alias("n_words"))
-    got = classify(d.filter(F.col("text").rlike(CUE)).select(key.alias("file"), "text"))
-    share = F.col("n_terms") >= FILE_SHARE * F.col("file.n_words")
-    got = got.select(F.col("file.path").alias("path"), F.col("file.th").alias("th"), "licence", "score", share.alias("is_file"))
+    cued = d.filter(F.col("text").rlike(CUE)).select(key.alias("file"), "text")
+    share = F.coalesce(F.col("n_terms") >= FILE_SHARE * F.col("file.n_words"), F.lit(False))
+    full = whole(cued).select("file", F.col("licence").alias("full"), F.col("score").alias("full_score"))
+    got = classify(cued).join(full, "file", "full").withColumn("is_file", F.col("full").isNotNull() | share)
+    got = got.select(F.col("file.path").alias("path"), F.col("file.th").alias("th"), F.coalesce("full", "licence").alias("licence"), F.coalesce("full_score", "score").alias("score"), "is_file")
     f = d.select("doc_id", "path", F.xxhash64("text").alias("th")).join(got, ["path", "th"], "left")
     f = spool(f.select("doc_id", "path", "licence", "score", F.coalesce("is_file", F.lit(False)).alias("is_licence_file")), "files")
     return inherit(f).select("doc_id", "path", "licence", "score", "is_licence_file", "effective", "inherited_from")
