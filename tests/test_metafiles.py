@@ -266,3 +266,14 @@ def test_streaming(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_affine_product_of_all_events(spark):
+    from vectorloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    want: dict = {}
+    for r in sorted(Q.t(spark, d, "events").select("user_id", "event_id").collect(), key=lambda r: r.event_id):
+        a, b = want.get(r.user_id, (1.0, 0.0))
+        want[r.user_id] = a * (1 + r.event_id % 3 / 8), a * (r.event_id % 7) + b
+    assert {r.user_id: (r.a, r.b) for r in Q.QUERIES["affine_product_whole"](spark, d).collect()} == want

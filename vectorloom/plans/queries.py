@@ -353,13 +353,25 @@ def utf16_text(spark, d):
   SELECT user_id, list_reduce(list({'a': 1.0::DOUBLE + (event_id % 3) / 8.0::DOUBLE, 'b': (event_id % 7)::DOUBLE} ORDER BY event_id),
     lambda p, x: {'a': p.a * x.a, 'b': p.a * x.b + p.b}) AS m FROM events WHERE event_id % 4 = 0 GROUP BY user_id)""")
 def affine_prefix_product(spark, d):
-    """Composition of a stream's transforms, in order."""
+    """Composition of every fourth of a stream's transforms, in order; ``affine_product_whole`` takes all."""
+    return _affine(t(spark, d, "events").filter("event_id % 4 = 0"))
+
+
+def _affine(events: DataFrame) -> DataFrame:
     step = F.struct("event_id", (1 + F.col("event_id") % 3 / 8.0).alias("a"), (F.col("event_id") % 7).cast("double").alias("b"))
-    per = t(spark, d, "events").filter("event_id % 4 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("x"))
+    per = events.groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("x"))
     fold = "aggregate(x, struct(1D AS a, 0D AS b), (p, m) -> struct(p.a * m.a AS a, p.a * m.b + p.b AS b))"
     return per.select("user_id", F.expr(fold).alias("m")).select("user_id", "m.a", "m.b")
 
 
+@query("""SELECT user_id, m.a AS a, m.b AS b FROM (
+  SELECT user_id, list_reduce(list({'a': 1.0::DOUBLE + (event_id % 3) / 8.0::DOUBLE, 'b': (event_id % 7)::DOUBLE} ORDER BY event_id),
+    lambda p, x: {'a': p.a * x.a, 'b': p.a * x.b + p.b}) AS m FROM events GROUP BY user_id)""")
+def affine_product_whole(spark, d):
+    """Composition of all of a stream's transforms, in order."""
+    return _affine(t(spark, d, "events"))
+
+
 NESTED = """WITH RECURSIVE r(node, depth) AS (
   SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey < 2
   UNION ALL SELECT n.n_nationkey, r.depth + 1 FROM r JOIN {nation} n ON n.n_nationkey >= 2 AND CAST(floor(n.n_nationkey / 2.0) AS INT) = r.node WHERE r.depth < 3)
