@@ -277,3 +277,14 @@ def test_affine_product_of_all_events(spark):
         a, b = want.get(r.user_id, (1.0, 0.0))
         want[r.user_id] = a * (1 + r.event_id % 3 / 8), a * (r.event_id % 7) + b
     assert {r.user_id: (r.a, r.b) for r in Q.QUERIES["affine_product_whole"](spark, d).collect()} == want
+
+
+def test_continuation_has_all_parts(spark):
+    from vectorloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    want: dict = {}
+    for r in sorted(Q.t(spark, d, "conversations").collect(), key=lambda r: r.turn):
+        want[r.conv_id] = want.get(r.conv_id, "") + (r.text or "")
+    assert max(map(len, want.values())) > 200
+    assert {r.conv_id: r.object for r in Q.QUERIES["continuation_whole"](spark, d).collect()} == want

@@ -190,8 +190,18 @@ def deferred_after_sync(spark, d):
 
 @query("SELECT conv_id, substr(string_agg(text, '' ORDER BY turn), 1, 200) AS object FROM conversations GROUP BY conv_id")
 def continuation_assemble(spark, d):
-    parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.substring(F.concat_ws("", F.transform(parts, lambda x: x["text"])), 1, 200).alias("object"))
+    """The first 200 characters; ``continuation_whole`` has all."""
+    return _assembled(t(spark, d, "conversations")).withColumn("object", F.substring("object", 1, 200))
+
+
+def _assembled(parts: DataFrame) -> DataFrame:
+    x = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return parts.groupBy("conv_id").agg(F.concat_ws("", F.transform(x, lambda x: x["text"])).alias("object"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS object FROM conversations GROUP BY conv_id")
+def continuation_whole(spark, d):
+    return _assembled(t(spark, d, "conversations"))
 
 
 # Scalars
