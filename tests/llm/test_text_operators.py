@@ -185,3 +185,22 @@ def test_full_licence_texts(spark):
         1: ("MIT", True), 3: ("GPL-2.0", True), 4: ("MPL-2.0", True), 5: ("CC-BY-NC-4.0", True), 6: ("GPL-3.0", True)}
     assert (got[2].licence, got[2].effective, got[2].inherited_from) == (None, "MIT", "a/en")
     assert not got[7].is_licence_file
+
+
+def test_wrapped_and_spdx_notices(spark):
+    code = "\n" + "some code here " * 40
+    files = [
+        ("/*\n * Ask the office about a copyright\n * or anything else\n */" + code, None),
+        ("/*\n * This work is licensed under a Creative\n * Commons Attribution 4.0 International\n * License, CC BY 4.0. */" + code, "CC-BY-4.0"),
+        ("# This Source Code Form is subject to the terms of\n# the Mozilla Public\n# License, v. 2.0." + code, "MPL-2.0"),
+        ("/* Licensed under the Apache License,\n * Version 2.0 */" + code, "Apache-2.0"),
+        ("// SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0"),
+        ("# spdx-license-identifier: (GPL-3.0-or-later OR MIT)" + code, "GPL-3.0"),
+        ("<!-- SPDX-License-Identifier: BSD-3-Clause -->" + code, "BSD-3-Clause"),
+        ("// SPDX-License-Identifier: Zlib" + code, "Zlib"),
+        ("// SPDX-License-Identifier: NOASSERTION" + code, None),
+    ]
+    d = spark.createDataFrame([(i, t, "en", f"s{i}") for i, (t, _) in enumerate(files)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in license_scan.query(d).collect()}
+    assert [got[i].licence for i in range(len(files))] == [x for _, x in files]
+    assert not any(r.is_licence_file for r in got.values())

@@ -6,10 +6,12 @@ full texts. At a cosine of ``WHOLE`` or more the file has the best one's licence
 file. The full texts of related licences (GPL-2.0, ISC, ...) are there so that none is taken
 for a neighbour.
 
-A notice is a line of a whole text with a cue word. Its words form a sparse vector weighted by
-inverse document frequency over all notices of the table; its licence is the template with the
-largest cosine of ``LEAST`` or more. A file that is no full text is still a licence file if its best
-notice makes up ``FILE_SHARE`` of its words, as in ``SQL``, which states the notices only.
+A notice is a line of a whole text with a cue word, alone or with up to ``AROUND`` lines before and
+after it, as headers are wrapped. Its words form a sparse vector weighted by
+inverse document frequency over all such lines of the table; its licence is the template with the
+largest cosine of ``LEAST`` or more. An SPDX identifier scores 1 for the licence it names, and
+for the first in an expression; it makes no licence file. A file that is no full text is still a licence file if its best
+notice makes up ``FILE_SHARE`` of its words, as in ``SQL``, which states notices of one line only.
 
 A licence file stands for its directory. A file without a licence of its own takes that
 of the nearest directory above it which has one.
@@ -21,7 +23,7 @@ into words, other texts are not. Directories are resolved once each, so a direct
 last equi-join, which adaptive execution splits.
 
 Defined cases: a null text has no notice; null path parts read as ``-``; of several best notices
-the earliest line counts, of several templates the first by name, of several licence files in a
+the earliest line and the shortest notice count, of several templates the first by name, of several licence files in a
 directory the smallest path; repeated rows are scanned one by one; other columns aren't carried.
 """
 
@@ -33,7 +35,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spool
+from .shared import once, spool
 
 #: Licence and the wording of its notices.
 TEMPLATES = (
@@ -54,6 +56,9 @@ LEAST, FILE_SHARE = 0.6, 0.2
 TEXTS = Path(__file__).parent / "licences"
 HOLDER = r"(?im)^[^a-z0-9\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved).*$"
 WHOLE = 0.8
+#: Lines before and after a cue that may belong to its notice, and an identifier that states a licence (the first of an expression).
+AROUND = 2
+SPDX = r"""(?i)spdx-license-identifier["']?[ \t]*[:=][ \t]*["'(]*([a-z0-9][a-z0-9.+-]*)"""
 
 
 def _words(x: Column) -> Column:
@@ -99,10 +104,22 @@ def whole(files: DataFrame) -> DataFrame:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """file (any key), line, terms: the lines with a cue, of whole texts."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda x: x.s.rlike(CUE))
-    n = files.filter(F.col("text").rlike(CUE)).select("file", F.explode(lines).alias("x"))
-    return n.select("file", "x.line", _words(F.col("x.s")).alias("terms")).filter(F.size("terms") > 0)
+    """file (any key), line, before, after, terms, spdx: the lines with a cue, of whole texts, alone and with lines round them."""
+    lines = once(files.filter(F.col("text").rlike(CUE)), "file", lines=F.split("text", "\n"))
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(CUE))
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(AROUND + 1) for b in range(AROUND + 1)])
+    fits = lambda i: F.filter(spans, lambda w: (w.a <= i) & (i + w.b < F.size("lines")))
+    window = lambda i: F.transform(fits(i), lambda w: F.struct(i.alias("line"), w.a.alias("before"), w.b.alias("after"), F.array_join(F.slice("lines", i - w.a + 1, w.a + w.b + 1), "\n").alias("s")))
+    n = lines.select("file", F.explode(F.flatten(F.transform(at, window))).alias("x")).select("file", "x.*")
+    spdx = F.when((F.col("before") + F.col("after") == 0) & F.col("s").rlike(SPDX), F.regexp_extract("s", SPDX, 1))
+    return n.select("file", "line", "before", "after", _words(F.col("s")).alias("terms"), _identifier(spdx).alias("spdx")).filter(F.size("terms") > 0)
+
+
+def _identifier(x: Column) -> Column:
+    """The licence that an SPDX identifier names, in one spelling; others as written."""
+    known = {lic.lower() + s: lic for lic in sorted({*(lic for lic, _ in TEMPLATES), *(f.stem for f in TEXTS.glob("*.txt"))}) for s in ("", "+", "-only", "-or-later")}
+    names = F.create_map(*[F.lit(v) for kv in known.items() for v in kv])
+    return F.when(~F.lower(x).isin("none", "noassertion"), F.coalesce(F.element_at(names, F.lower(x)), x))
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -113,11 +130,13 @@ def classify(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     tt = template_terms(spark)
     found = spool(notices(files).distinct(), "notices")
-    term = found.select("file", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    tf = term.groupBy("file", "line", "n", "term").agg(F.count("*").alias("tf"))
+    place = ["file", "line", "before", "after"]
+    term = found.select(*place, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    tf = term.groupBy(*place, "n", "term").agg(F.count("*").alias("tf"))
+    alone = F.col("before") + F.col("after") == 0
     vocabulary = tt.select("term").distinct()
-    df = tf.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
-    total = found.count()
+    df = tf.filter(alone).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
+    total = found.filter(alone).count()
     known = {r["term"]: r["df"] for r in df.collect()}  # the templates' terms at most
     idf_of = F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1
     idf = _rows(spark, [(w.term, known.get(w.term, 0)) for w in vocabulary.collect()], "term, df").select("term", idf_of.alias("idf"))
@@ -126,12 +145,14 @@ def classify(files: DataFrame) -> DataFrame:
     norms = weights.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = weights.join(F.broadcast(norms), "licence").groupBy("term").agg(F.collect_list(F.struct("licence", (F.col("w") / F.col("norm")).alias("w"))).alias("by"))
     v = tf.join(F.broadcast(idf), "term", "left").join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
-    norm = v.groupBy("file", "line", "n").agg(
+    norm = v.groupBy(*place, "n").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         *[F.coalesce(F.sum(F.col("w") * F.expr(f"get(filter(by, b -> b.licence = '{lic}'), 0).w")), F.lit(0.0)).alias(f"dot_{i}") for i, (lic, _) in enumerate(TEMPLATES)],
     )
-    scored = norm.select("file", "line", "n", F.explode(F.array(*[F.struct(F.lit(lic).alias("licence"), F.round(F.col(f"dot_{i}") / F.col("norm"), 6).alias("score")) for i, (lic, _) in enumerate(TEMPLATES)])).alias("x"))
-    best = scored.filter(F.col("x.score") >= LEAST).groupBy("file").agg(F.min(F.struct((-F.col("x.score")).alias("s"), "line", F.col("x.licence").alias("licence"), "n")).alias("b"))
+    scored = norm.select(*place, "n", F.explode(F.array(*[F.struct(F.lit(lic).alias("licence"), F.round(F.col(f"dot_{i}") / F.col("norm"), 6).alias("score")) for i, (lic, _) in enumerate(TEMPLATES)])).alias("x"))
+    stated = found.filter("spdx IS NOT NULL").select(*place, F.lit(0).alias("n"), F.struct(F.col("spdx").alias("licence"), F.lit(1.0).alias("score")).alias("x"))
+    scored = scored.filter(F.col("x.score") >= LEAST).unionByName(stated)
+    best = scored.groupBy("file").agg(F.min(F.struct((-F.col("x.score")).alias("s"), "line", (F.col("before") + F.col("after")).alias("more"), F.col("x.licence").alias("licence"), "n")).alias("b"))
     return best.select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"), F.col("b.n").alias("n_terms"))
 
 
