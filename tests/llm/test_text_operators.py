@@ -204,3 +204,14 @@ def test_wrapped_and_spdx_notices(spark):
     got = {r.doc_id: r for r in license_scan.query(d).collect()}
     assert [got[i].licence for i in range(len(files))] == [x for _, x in files]
     assert not any(r.is_licence_file for r in got.values())
+
+
+def test_random_values_joined_to_names(spark):
+    r = random.Random(12)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda more: "".join(r.choice(alnum + more) for _ in range(56)) + more
+    forms = [("run AWS_SECRET_ACCESS_KEY=", "+/", "== now"), ("get https://h.example/x?sig=", "-_", "&more=1"), ("the prefix_", "+/", " end"), ("see /path/x/", "-_", " end")]
+    texts = [(n, a + v, v, z) for n, (a, m, z) in enumerate(forms * 10) for v in [value(m)]]
+    got = {x.doc_id: x.text for x in secret_scan.redact(docs(spark, [(n, a + z) for n, a, _, z in texts])).collect()}
+    for k in range(4):
+        assert sum(v not in got[n] for n, _, v, _ in texts if n % 4 == k) >= 9

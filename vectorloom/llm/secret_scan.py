@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over long tokens.
 
-Patterns give the base spans. Beside them, every run of 20 or more token characters has its
+Patterns give the base spans. Beside them, every run of 20 or more token characters (``=`` only
+pads its end, so a name and its value are two tokens; a run that mixes ``+/`` and ``_-`` is taken
+apart into its runs without the ones and without the others) has its
 encoding inferred (the narrowest alphabet that holds it) and is tested as a sequence of digits
 of that alphabet:
 
@@ -33,7 +35,9 @@ from .shared import once
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A token with characters of both alphabets is taken apart into the runs of either.
+MIXED, PARTS = r"[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 #: The value of an assignment has this many characters at least.
 VALUE = 8
@@ -125,6 +129,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, t (the text, never null), ``base`` and all ``spans``: arrays of (s, k, e), k the place in KINDS, by start and kind."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = once(d, "doc_id", "t", base=F.expr(f"concat({_find(ASSIGN, 0, 2, VALUE)}, {_find(ACCESS, 1)}, {_find(HEX, 2)})"), tokens=F.expr(_find(TOKEN, 3)))
+    mixed = f"x.m RLIKE {_q(MIXED)}"
+    parts = f"array_distinct(concat({', '.join(_find(p, 3) for p in PARTS)}))"
+    apart = f"concat(filter(tokens, x -> NOT {mixed}), filter({parts}, y -> exists(tokens, x -> x.s <= y.s AND y.e <= x.e AND {mixed})))"
+    d = once(d, "doc_id", "t", "base", tokens=F.when(F.expr(f"exists(tokens, x -> {mixed})"), F.expr(apart)).otherwise(F.col("tokens")))
     d = d.select("doc_id", "t", "base", F.expr("filter(tokens, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))").alias("tokens"))
     d = once(d, "doc_id", "t", "base", tested=F.when(F.size("tokens") > 0, F.expr(_tests("tokens"))))
     # Weighted Benjamini-Hochberg within the document: p / weight, sorted, against rank * FDR / m.
