@@ -10,7 +10,7 @@ remainder cut to fill it. What a task has left at its end is cut at powers of tw
 no padding.
 
 Token ids are those of the vocabulary file's library. White space bounds its pre-tokens, so
-each white-space-free chunk is encoded once and remembered as packed 32-bit ids.
+each white-space-free chunk and each pre-token is encoded once and remembered as packed 32-bit ids.
 
 Defined cases: a null text is empty and packs as the end id alone; a null ``doc_id`` is
 carried; repeated rows pack one by one; an empty table packs to no sequence; only ``doc_id``
@@ -19,6 +19,11 @@ and ``text`` are read.
 
 from __future__ import annotations
 
+import array
+import json
+import os
+import re
+import sys
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -28,55 +33,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_counts import byte_alphabet
+
 CAPACITY, END_ID = 4096, 2
 #: Remainders that wait at most, and those left before more are read.
 POOL, LOW = 256, 128
-#: Chunks remembered per worker since the last turnover, and as many from before it.
-REMEMBER = 300_000
+#: Chunks, and pre-tokens, remembered per worker since the last turnover, and as many from before it.
+REMEMBER = 250_000
 #: White space of str.split that the pre-tokenizer takes for symbols.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: The normalizer and pre-tokenizer that the own path of ``Encoder`` reproduces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same split for lower-cased text below U+0100, where NFC changes nothing and a letter's lower case is one letter.
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
+class Remembered(dict):
+    """Results of ``make`` by key; keys of up to 64 characters are kept until ``turn`` has passed them by twice."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= 64:
+            self[key] = ids
+        return ids
+
+    def turn(self, size: int) -> None:
+        if len(self) > size:  # frequent keys come back from the older half
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Texts to little-endian unsigned 32-bit ids, as bytes.
 
-    def __init__(self, path: str):
-        import os
+    A chunk of characters below U+0100 is lower-cased and split here, and its pre-tokens go straight to the
+    vocabulary's merges; other chunks go through the whole library. So do whole texts that hold a special string,
+    and all texts where the vocabulary file has another normalizer or pre-tokenizer.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        import array
-        import sys
-
-        out = []
-        for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
-            a = array.array("I", e.ids)
-            if sys.byteorder == "big":
-                a.byteswap()
-            out.append(a.tobytes())
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        if len(self.known) > REMEMBER:  # frequent chunks come back from the older half
-            self.known, self.before = {}, self.known
-        known, before, new = self.known, self.before, []
-        for w in {w for ws in words for w in ws}:
-            if w not in known:
-                if (ids := before.get(w)) is not None:
-                    known[w] = ids
-                else:
-                    new.append(w)
-        once: dict[str, bytes] = {}
-        for w, ids in zip(new, self.chunk_ids(new), strict=True):
-            (known if len(w) <= 64 else once)[w] = ids
-        return [b"".join([known[w] if w in known else once[w] for w in ws]) for ws in words]
+        normal, pre, model = (spec[k] or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.by_chunk = (
+            normal.get("normalizers") == NORMALIZERS
+            and pre.get("pretokenizers") == [split, byte_level]
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        )
+        if self.by_chunk:
+            self.tok.model._resize_cache(0)  # pre-tokens are remembered here
+        self.shown = byte_alphabet()
+        self.tokenize = self.tok.model.tokenize
+        self.chunks, self.pieces = Remembered(self.chunk_ids), Remembered(self.piece_ids)
+
+    def piece_ids(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join([self.shown[b] for b in piece.encode()])
+        return packed([t.id for t in self.tokenize(piece)])
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        if not chunk.isascii() and max(chunk) > "\xff":
+            return packed(self.tok.encode(chunk, add_special_tokens=False).ids)
+        low = chunk.lower()
+        return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in LATIN_SPLIT.findall(low)])
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_chunk or any(x in text for x in (*NOT_SPACE, *self.special)):
+            return packed(self.tok.encode(text, add_special_tokens=False).ids)
+        self.chunks.turn(REMEMBER)
+        self.pieces.turn(REMEMBER)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+def packed(ids: list[int]) -> bytes:
+    a = array.array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 _loaded: dict[str, Encoder] = {}
@@ -163,15 +214,15 @@ class Packer:
     def finish(self) -> Iterator[tuple]:
         while sum(x * len(q) for x, q in self.pool.items()) >= self.capacity:
             yield from self.fill()
-        rest = [p for x in sorted(self.pool, reverse=True) for p in self.pool[x]]
+        rest = deque(p for x in sorted(self.pool, reverse=True) for p in self.pool[x])
         left = sum(len(p[2]) // 4 for p in rest)
         while left:
             size = room = 1 << (left.bit_length() - 1)
             pieces = []
             while room:
-                doc_id, start, ids, tokens = rest.pop(0)
+                doc_id, start, ids, tokens = rest.popleft()
                 if len(ids) // 4 > room:
-                    rest.insert(0, (doc_id, start + room, ids[4 * room :], tokens))
+                    rest.appendleft((doc_id, start + room, ids[4 * room :], tokens))
                     ids = ids[: 4 * room]
                 pieces.append((doc_id, start, ids, tokens))
                 room -= len(ids) // 4
@@ -200,9 +251,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             kind = b.column(0).type
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids, rows = enc.encode(part.column(1).to_pylist()), []
-                for i, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    rows.extend(packer.add(i, x + end))
+                rows = []
+                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    rows.extend(packer.add(i, enc.encode(x.as_py()) + end))
                 if rows:
                     yield out(rows, kind)
         if rows := list(packer.finish()):
