@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 from collections import defaultdict
 
@@ -62,3 +64,34 @@ def test_best_filling(counts, capacity, total):
     take = packing.best_filling(counts, capacity)
     assert sum(k * n for k, n in take.items()) == total
     assert all(0 < n <= counts[k] for k, n in take.items())
+
+
+def test_best_filling_against_exhaustive_search():
+    r = random.Random(4)
+    for _ in range(300):
+        counts = {r.randint(1, 12): r.randint(1, 3) for _ in range(r.randint(0, 4))}
+        capacity = r.randint(0, 40)
+        lengths = sorted(counts)
+        totals = [sum(x * n for x, n in zip(lengths, take, strict=True)) for take in itertools.product(*(range(counts[x] + 1) for x in lengths))]
+        take = packing.best_filling(counts, capacity)
+        assert all(0 < n <= counts[k] for k, n in take.items())
+        assert sum(k * n for k, n in take.items()) == max(t for t in totals if t <= capacity)
+
+
+def test_ids_of_every_character():
+    e, tok = packing.encoder(PATH), Tokenizer.from_file(PATH)
+    assert e.by_chunk
+    texts = [f"a{c}b x{c} {c}y it{c}'s 1{c}2 .{c}!" for c in map(chr, range(0x3400))]
+    texts += ["a<|endoftext|>b <|ENDOFTEXT|> <|endoftext", "'s'S'LL..'re don't WE'LL o'clock '''", "À́ éx"]
+    for t, x in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert e.encode(t) == packing.packed(x.ids)
+
+
+def test_memory_of_chunks_turns_over(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBER", 20)
+    e, tok = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    r = random.Random(6)
+    for _ in range(60):
+        t = " ".join(f"word{r.randint(0, 40)}{r.choice(['', ',', '!é'])}" for _ in range(30))
+        assert e.encode(t) == packing.packed(tok.encode(t, add_special_tokens=False).ids)
+        assert len(e.chunks) <= 20 + 30
