@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from vectorloom import constants as K
-from vectorloom.operators import bitmaps, clip, framing, plus, raster
+from vectorloom.operators import bitmaps, clip, embedded, framing, plus, raster
 from vectorloom.operators.replay import replay
-from vectorloom.plans.render import draw_bytes, render
+from vectorloom.operators.embedded import draw_bytes
+from vectorloom.plans.render import render
 from vectorloom.sources import encode as E
 from vectorloom.sources.metafiles import Options, with_headers
 
@@ -199,7 +200,7 @@ def test_gradients():
     assert (g["type"], g["r"], [s["color"] for s in g["stops"]]) == ("radial", 5, ["rgba(255,255,255,1.000)", "rgba(0,128,0,1.000)"])
     assert plus.brush(V + struct.pack("<III", 1, 0, 0xFF010203))["color"] == "rgba(1,2,3,1.000)" and plus.brush(b"") is None
     ops = run([E.plus_comment([obj(1, 0, linear), E.plus_record(0x400A, 0, struct.pack("<II4f", 0, 1, 0, 0, 100, 50))])])
-    out = raster.render([ops[0] | {"geom": [{"cmd": "R", "p": [0, 0, 100, 50]}], "clip": []}], 100, 60)
+    out = raster.render([ops[0] | {"geom": [("R", [0, 0, 100, 50])], "clip": None}], 100, 60)
     assert out[10, 2, 0] > 240 and out[10, 97, 2] > 240 and out[55, 5, 3] == 0
 
 
@@ -268,23 +269,78 @@ def test_streaming(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
-def test_affine_product_of_all_events(spark):
-    from vectorloom.plans import queries as Q
-
-    d = "/root/testdata/sf0.001"
-    want: dict = {}
-    for r in sorted(Q.t(spark, d, "events").select("user_id", "event_id").collect(), key=lambda r: r.event_id):
-        a, b = want.get(r.user_id, (1.0, 0.0))
-        want[r.user_id] = a * (1 + r.event_id % 3 / 8), a * (r.event_id % 7) + b
-    assert {r.user_id: (r.a, r.b) for r in Q.QUERIES["affine_product_whole"](spark, d).collect()} == want
-
-
-def test_continuation_has_all_parts(spark):
-    from vectorloom.plans import queries as Q
-
-    d = "/root/testdata/sf0.001"
-    want: dict = {}
-    for r in sorted(Q.t(spark, d, "conversations").collect(), key=lambda r: r.turn):
-        want[r.conv_id] = want.get(r.conv_id, "") + (r.text or "")
-    assert max(map(len, want.values())) > 200
-    assert {r.conv_id: r.object for r in Q.QUERIES["continuation_whole"](spark, d).collect()} == want
+def _png(px: np.ndarray, depth: int, kind: int, filters=(0,), laced: bool = False, more: list = ()) -> bytes:
+    """An encoder apart from the engine's: px has the samples, (h, w, n)."""
+    h, w, n = px.shape
+    raw, step = b"", max(1, n * depth // 8)
+    grids = [(0, 0, 1, 1)] if not laced else [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+    for x0, y0, dx, dy in grids:
+        part = px[y0::dy, x0::dx]
+        if not part.size:
+            continue
+        up = bytes((part.shape[1] * n * depth + 7) // 8)
+        for y, line in enumerate(part):
+            bits = "".join(f"{int(v):0{depth}b}" for v in line.reshape(-1))
+            row = int(bits.ljust(len(up) * 8, "0"), 2).to_bytes(len(up), "big")
+            f = filters[y % len(filters)]
+            out = bytearray()
+            for i, v in enumerate(row):
+                a, b, c = (row[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+                p = a + b - c
+                paeth = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
+                out.append(v - (0, a, b, (a + b) // 2, paeth)[f] & 255)
+            raw += bytes([f]) + bytes(out)
+            up = row
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, laced)) + b"".join(chunk(*m) for m in more) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("laced", [False, True])
+@pytest.mark.parametrize("kind,depth", [(0, 1), (0, 2), (0, 4), (0, 8), (0, 16), (2, 8), (2, 16), (3, 1), (3, 4), (3, 8), (4, 8), (4, 16), (6, 8), (6, 16)])
+def test_png_of_every_kind(kind, depth, laced):
+    r = np.random.default_rng(kind * 100 + depth)
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    px = r.integers(0, 1 << depth, (9, 13, n))
+    palette = r.integers(0, 256, (1 << min(depth, 8), 3), np.uint8)
+    alpha = bytes(r.integers(0, 256, len(palette) // 2, np.uint8))
+    more = [(b"PLTE", palette.tobytes()), (b"tRNS", alpha)] if kind == 3 else []
+    got = embedded.png_pixels(_png(px, depth, kind, (0, 1, 2, 3, 4), laced, more))
+    if kind == 3:
+        assert (got[..., :3] == palette[px[..., 0]]).all() and (got[..., 3] == np.append(np.frombuffer(alpha, np.uint8), np.full(len(palette) - len(alpha), 255))[px[..., 0]]).all()
+        return
+    level = px >> 8 if depth == 16 else px * 255 // ((1 << depth) - 1)
+    assert (got[..., :3] == (level[..., :3] if n >= 3 else level[..., :1])).all()
+    assert (got[..., 3] == (level[..., -1] if n in (2, 4) else 255)).all()
+
+
+def test_damaged_pngs_are_no_pictures():
+    good = _png(np.zeros((2, 2, 1), int), 8, 0)
+    assert embedded.png_pixels(good).shape == (2, 2, 4)
+    for bad in (good[:20], good[:45], good.replace(b"IDAT", b"IDOT"), b"\x89PNG\r\n\x1a\n", good[:16] + struct.pack(">I", 90000) + good[20:]):
+        assert embedded.png_pixels(bad) is None
+    clear = embedded.png_pixels(_png(np.array([[[7], [8]]]), 8, 0, more=[(b"tRNS", struct.pack(">H", 8))]))
+    assert clear[0, :, 3].tolist() == [255, 0]
+
+
+def test_text_is_drawn():
+    out = E.emf_record(84, struct.pack("<16xIffiiIII16xI", 1, 1.0, 1.0, 10, 10, 2, 76, 0, 0) + "H-".encode("utf-16-le"))
+    px = raster.render(run([out]), 100, 100)
+    painted = px[..., 3] > 0
+    rows, cols = np.nonzero(painted)
+    assert painted.sum() > 10 and rows.min() >= 9 and rows.max() <= 23 and cols.min() >= 10 and cols.max() <= 25
+    assert not painted[:, 40:].any() and (px[painted] == [0, 0, 0, 255]).all()
+
+
+def test_large_canvas_takes_four_bytes_a_pixel():
+    ops = run([E.brush(1, 0x0000FF), E.select(1), E.select(0x80000008), E.rectangle(0, 0, 4000, 3000), E.emf_record(42, struct.pack("<4i", 0, 0, 4096, 4096))], (0, 0, 4096, 4096), (4096, 4096))
+    px = raster.render(ops, 4096, 4096)
+    assert px.dtype == np.uint8 and px.nbytes == 4 * 4096 * 4096
+    assert px[10, 10].tolist() == [255, 0, 0, 255] and px[4090, 2048].tolist() == [255, 0, 0, 255] and px[4095, 4095, 3] == 0
+
+
+def test_nested_images_that_are_lost():
+    jpeg = V + struct.pack("<IiiiiI", 1, 0, 0, 0, 0, 1) + b"\xff\xd8\xff" + bytes(9)
+    show = E.plus_record(0x401A, 5, bytes(24) + struct.pack("<4f", 0, 0, 20, 20))
+    inner = E.emf([E.plus_comment([obj(5, 5, jpeg), show]), E.eof()], (0, 0, 10, 10))
+    assert embedded.lost(inner, True) == ["jpeg"] and embedded.lost(b"junk", True) == ["unknown"] and embedded.lost(None, False) == ["unknown"]
+    assert embedded.image_kind(b"GIF89a") == "gif" and embedded.image_kind(inner) == "metafile"

@@ -2,109 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import GDI_DASH, PAGE_UNIT, ROP2
-
 
 def js_round(x: Column) -> Column:
     """Halves go up, as JavaScript rounds."""
     return F.floor(x + 0.5)
 
 
-def hex2(x: Column) -> Column:
-    return F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(255)))), 2, "0")
-
-
-def colorref_hex(r: Column, g: Column, b: Column) -> Column:
-    return F.concat(F.lit("#"), hex2(r), hex2(g), hex2(b))
-
-
-def byte(x: Column, i: int) -> Column:
-    """Byte i, from the lowest, of an unsigned 32-bit value in a long."""
-    return F.shiftrightunsigned(x.cast("long"), 8 * i).bitwiseAND(F.lit(255))
-
-
-def argb_rgba(argb: Column) -> Column:
-    return F.format_string("rgba(%d,%d,%d,%.3f)", byte(argb, 2), byte(argb, 1), byte(argb, 0), byte(argb, 3) / F.lit(255.0))
-
-
-def lerp_argb(a: Column, b: Column, t: Column) -> Column:
-    """Channel-wise blend of two packed colours, t clamped to 0..1."""
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    ch = [js_round(byte(a, i) + (byte(b, i) - byte(a, i)) * u) for i in (2, 1, 0, 3)]
-    return F.format_string("rgba(%d,%d,%d,%.3f)", *ch[:3], ch[3] / F.lit(255.0))
-
-
-def invert_color(css: Column) -> Column:
-    """Inverse of #rrggbb, #rgb, rgb() and rgba(); other strings unchanged."""
-    long, short = r"^#([0-9a-fA-F]{2})([0-9a-fA-F]{2})([0-9a-fA-F]{2})$", r"^#([0-9a-fA-F])([0-9a-fA-F])([0-9a-fA-F])$"
-    func = r"^rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*(?:,\s*([\d.]+)\s*)?\)$"
-    part = lambda p, i: F.regexp_extract(css, p, i)
-    num = lambda s: F.conv(s, 16, 10).cast("long")
-    inv = lambda v: F.lit(255) - v
-    dec = [inv(part(func, i).cast("long")) for i in (1, 2, 3)]
-    return (
-        F.when(css.rlike(long), colorref_hex(*[inv(num(part(long, i))) for i in (1, 2, 3)]))
-        .when(css.rlike(short), colorref_hex(*[inv(num(part(short, i)) * 17) for i in (1, 2, 3)]))
-        .when(css.rlike(func) & (part(func, 4) != ""), F.concat(F.lit("rgba("), F.concat_ws(",", *[d.cast("string") for d in dec], part(func, 4)), F.lit(")")))
-        .when(css.rlike(func), F.concat(F.lit("rgb("), F.concat_ws(",", *[d.cast("string") for d in dec]), F.lit(")")))
-        .otherwise(css)
-    )
-
-
-def _case(x: Column, table: dict, other: Column) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(x == k, v) if out is None else out.when(x == k, v)
-    return out.otherwise(other)
-
-
-def rop2_gco(mode: Column) -> Column:
-    return _case(mode, {k: F.lit(v[0]) for k, v in ROP2.items()}, F.lit("source-over"))
-
-
-def rop2_color(mode: Column, css: Column) -> Column:
-    kind = {"black": F.lit("#000000"), "white": F.lit("#ffffff"), "transparent": F.lit("transparent"), "invert": invert_color(css), "same": css}
-    return _case(mode, {k: kind[v[1]] for k, v in ROP2.items()}, css)
-
-
-def rop2_exact(mode: Column) -> Column:
-    return _case(mode, {k: F.lit(v[2]) for k, v in ROP2.items()}, F.lit(True))
-
-
-def dash(style: Column) -> Column:
-    return _case(style, {k: F.array(*[F.lit(float(x)) for x in v]) for k, v in GDI_DASH.items()}, F.array().cast("array<double>"))
-
-
-def page_unit(unit: Column, scale: Column) -> Column:
-    return _case(unit, {k: F.lit(v) for k, v in PAGE_UNIT.items()}, F.lit(1.0)) * scale
-
-
-def font_weight(w: Column) -> Column:
-    r = js_round(w / 100.0) * 100
-    return F.when(w.isin(0, 400) | (r == 400), F.lit("")).when(r == 700, F.lit("bold")).when((r >= 100) & (r <= 900), r.cast("string")).when(r >= 700, F.lit("bold")).otherwise(F.lit(""))
-
-
-def font_family(face: Column, mapping: dict[str, str] | None = None) -> Column:
-    m = F.create_map(*[F.lit(x) for x in chain.from_iterable((k.lower().strip(), v) for k, v in (mapping or {"": ""}).items())])
-    name = F.coalesce(m[F.lower(F.trim(face))], face)
-    return F.when(name.rlike(r"[\s,]") & ~name.rlike("^[\"'].*[\"']$"), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(name)
-
-
-def font_px(height: Column, scale: Column) -> Column:
-    return F.greatest(F.abs(height) * F.when(F.abs(scale) == 0, 1.0).otherwise(F.abs(scale)), F.lit(8.0))
-
-
-def map_axis(v: Column, k: Column, shift: Column, worg: Column, wext: Column, vorg: Column, vext: Column) -> Column:
-    """World, then window to viewport; zero extents count as 1."""
-    nz = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    return (k * v + shift - worg) / nz(wext) * nz(vext) + vorg
-
-
 def canvas_size(w: Column, h: Column, max_w: Column, max_h: Column, dpi: Column, cap: int = 8192) -> tuple[Column, Column]:
     """Scale by dpi in 1..4, fit to the maxima keeping the aspect, clamp each side."""
     s = F.greatest(F.lit(1.0), F.least(F.lit(4.0), dpi))
@@ -116,14 +22,6 @@ def canvas_size(w: Column, h: Column, max_w: Column, max_h: Column, dpi: Column,
     return clamp(js_round(w1 * f2)), clamp(js_round(h1 * f2))
 
 
-def arc_angles(left, top, right, bottom, sx, sy, ex, ey) -> tuple[Column, Column]:
-    """Start and end angle of an arc in its box, normalised by the radii."""
-    cx, cy = (left + right) / 2.0, (top + bottom) / 2.0
-    nz = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    rx, ry = nz(F.abs(right - left) / 2.0), nz(F.abs(bottom - top) / 2.0)
-    return F.atan2((sy - cy) / ry, (sx - cx) / rx), F.atan2((ey - cy) / ry, (ex - cx) / rx)
-
-
 def u_le(content: Column, offset: int, size: int) -> Column:
     """Unsigned little-endian integer at a byte offset, as long; null past the end."""
     h = [F.hex(F.substring(content, offset + i + 1, 1)) for i in reversed(range(size))]
@@ -135,10 +33,5 @@ def i_le(content: Column, offset: int, size: int) -> Column:
     return F.when(u >= 1 << (8 * size - 1), u - (1 << 8 * size)).otherwise(u)
 
 
-def utf16(content: Column) -> Column:
-    """UTF-16LE up to the first NUL."""
-    return F.substring_index(F.decode(content, "UTF-16LE"), "\0", 1)
-
-
 def data_url(png: Column) -> Column:
     return F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(png), "\r\n", ""))  # Spark breaks lines

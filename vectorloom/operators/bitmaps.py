@@ -11,9 +11,9 @@ from ..constants import MAX_SIDE
 RGB24, RGB32, ARGB32, PARGB32 = 0x21808, 0x22009, 0x26200A, 0xE200B
 
 
-def dib(b: bytes, header: int = 0, bits: int | None = None) -> np.ndarray | None:
-    """A device-independent bitmap: header, masks and palette at ``header``, pixels at ``bits``."""
-    if len(b) < header + 40:
+def dib(b: bytes, header: int = 0, bits: int | None = None, bits_size: int | None = None) -> np.ndarray | None:
+    """A device-independent bitmap: header, masks and palette at ``header``, ``bits_size`` bytes of pixels at ``bits``."""
+    if len(b) < header + 40 or bits is not None and len(b) < bits + (bits_size or 0):
         return None
     size, w, h, planes, bpp, comp = struct.unpack_from("<IiiHHI", b, header)
     used = struct.unpack_from("<I", b, header + 32)[0]
@@ -23,20 +23,24 @@ def dib(b: bytes, header: int = 0, bits: int | None = None) -> np.ndarray | None
     if comp not in (0, 1, 2, 3) or comp == 1 and bpp != 8 or comp == 2 and bpp != 4 or comp == 3 and bpp not in (16, 32):
         return None
     at = header + size
+    if len(b) < at:
+        return None
     masks = (0x7C00, 0x3E0, 0x1F)
     if comp == 3:
-        where = at if size == 40 else header + 40
-        if len(b) < where + 12:
+        if len(b) < at + 12:  # also behind a header that has masks of its own
             return None
-        masks = struct.unpack_from("<3I", b, where)
-        at += 12 if size == 40 else 0
+        masks = struct.unpack_from("<3I", b, at)
+        at += 12
     palette = np.zeros((0, 4), np.uint8)
     if bpp <= 8:
-        n = min(used or 1 << bpp, 1 << bpp, (len(b) - at) // 4)
+        n = min(used or 1 << bpp, 1 << bpp)
+        if len(b) < at + 4 * n:
+            return None
         palette = np.frombuffer(b, np.uint8, 4 * n, at).reshape(n, 4)[:, [2, 1, 0, 3]].copy()
         palette[:, 3] = 255
         at += 4 * n
-    pixels = b[at if bits is None else bits :]
+    first = at if bits is None else bits
+    pixels = b[first : None if bits_size is None else first + bits_size]
     if comp in (1, 2):
         return _rle(pixels, w, h, palette, comp == 2)
     return _rows(pixels, w, h, bpp, masks, palette, down)
@@ -77,25 +81,28 @@ def _rows(pixels: bytes, w: int, h: int, bpp: int, masks, palette: np.ndarray, d
 
 
 def _rle(b: bytes, w: int, h: int, palette: np.ndarray, four: bool) -> np.ndarray:
-    """Run lengths; the first encoded line is the top row, as in the files' readers that this matches."""
+    """Run lengths; the first encoded line is the top row, as in the files' readers that this matches.
+
+    A run ends at the right edge. What is left of an absolute run of bytes there is read as codes.
+    """
     out = np.zeros((h, w, 4), np.uint8)
     x = line = i = 0
 
-    def put(v: int, absolute: bool) -> None:
-        nonlocal x
-        if x < w and line < h:
-            if v < len(palette):
-                out[line, x] = palette[v]
-            elif not four and not absolute:
-                out[line, x] = (0, 0, 0, 255)
-        x += 1
+    def put(index: np.ndarray, known_only: bool) -> None:
+        at = x + np.arange(len(index))
+        ok = at < w
+        if known_only:
+            ok &= index < len(palette)
+        if line < h:
+            out[line, at[ok]] = _lookup(index[ok], palette)
 
     while i + 1 < len(b) and line < h:
         n, v = b[i], b[i + 1]
         i += 2
         if n:
-            for k in range(n):
-                put((v >> 4 if k % 2 == 0 else v & 15) if four else v, False)
+            n = min(n, max(0, w - x))
+            put(np.resize(np.array([v >> 4, v & 15] if four else [v], np.uint8), n), four)
+            x += n
         elif v == 0:
             x, line = 0, line + 1
         elif v == 1:
@@ -104,14 +111,16 @@ def _rle(b: bytes, w: int, h: int, palette: np.ndarray, four: bool) -> np.ndarra
             if i + 1 >= len(b):
                 break
             x, line, i = x + b[i], line + b[i + 1], i + 2
+        elif four:
+            size = (v + 1) // 2
+            data = np.frombuffer(b[i : i + size], np.uint8)
+            index = np.stack([data >> 4, data & 15], 1).reshape(-1)[:v]
+            put(index, True)
+            x, i = x + len(index), i + size + size % 2
         else:
-            size = (v + 1) // 2 if four else v
-            data = b[i : i + size]
-            for k in range(v):
-                j = k // 2 if four else k
-                if j < len(data):
-                    put((data[j] >> 4 if k % 2 == 0 else data[j] & 15) if four else data[j], True)
-            i += size + size % 2
+            data = np.frombuffer(b[i : i + min(v, max(0, w - x))], np.uint8)
+            put(data, True)
+            x, i = x + len(data), i + len(data) + v % 2
     return out
 
 

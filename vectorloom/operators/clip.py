@@ -58,27 +58,22 @@ def inverse(s: Shape) -> Shape:
 
 
 def combine(current: Region, shape: Shape, op: str) -> tuple[Region, bool]:
-    one = current is not None and len(current) == 1 and composable(current[0]) and composable(shape)
-    if op == "replace":
-        return [shape], True
-    if op == "intersect":
-        return [*(current or []), shape], True
-    if op == "exclude":
-        return ([*(current or []), inverse(shape)], True) if composable(shape) else (current, False)
-    if op == "union":
-        if current is None:
-            return None, True
-        return ([Shape(current[0].cmds + shape.cmds, "nonzero", False)] if one else current), False
-    if op == "xor":
-        if current is None:
-            return ([inverse(shape)], True) if composable(shape) else (None, False)
-        return ([Shape(current[0].cmds + shape.cmds, "evenodd", False)], True) if one else (current, False)
-    # complement: the shape without the current region
-    if current is None:
-        return [empty()], True
-    if len(current) == 1 and composable(current[0]):
-        return [shape, inverse(current[0])], True
-    return [shape], False
+    """One shape into a region. Where a shape can't be inverted, intersecting with it stands for leaving it out."""
+    own, plain = current or [], composable(shape)
+    alone = len(own) == 1 and composable(own[0])
+    outside = [*own, inverse(shape) if plain else shape]
+    joined = lambda rule: [Shape(own[0].cmds + shape.cmds, rule, False)]
+    everywhere, both = current is None, alone and plain
+    cases = {
+        "replace": lambda: ([shape], True),
+        "intersect": lambda: ([*own, shape], True),
+        "exclude": lambda: (outside, plain),
+        # Figures wound in opposite directions could cancel, so a union is never called exact.
+        "union": lambda: (None, True) if everywhere else (joined("nonzero") if both else current, False),
+        "xor": lambda: (outside, plain) if everywhere else (joined("evenodd"), True) if both else (outside, False),
+        "complement": lambda: ([empty()], True) if everywhere else ([shape, inverse(own[0])], True) if alone else ([shape], False),
+    }
+    return cases[op]()
 
 
 def combine_regions(current: Region, other: Region, op: str) -> tuple[Region, bool]:

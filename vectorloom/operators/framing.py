@@ -73,8 +73,12 @@ def wmf_records(b: bytes, off: int, most: int = K.MAX_RECORDS) -> Iterator[Recor
 SCHEMA = "path string, stream string, seq int, parent_seq int, off long, rtype int, flags int, size long, data_off long, data_size long"
 
 
-def records(files: DataFrame, max_records: int = K.MAX_RECORDS) -> DataFrame:
-    """(path, content, kind, header_size) to the rows of all streams; a null content has none."""
+def records(files: DataFrame, max_records: int | None = None) -> DataFrame:
+    """(path, content, kind, header_size) to the rows of all streams; a null content has none.
+
+    ``max_records`` bounds each stream, where an EMF+ stream is the part in one comment.
+    """
+    most, most_plus = max_records or K.MAX_RECORDS, max_records or K.MAX_PLUS_RECORDS
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -84,12 +88,12 @@ def records(files: DataFrame, max_records: int = K.MAX_RECORDS) -> DataFrame:
             for path, content, kind, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = content or b""
                 if kind == "wmf":
-                    rows += [(path, "wmf", r.seq, None, *r[1:]) for r in wmf_records(b, head, max_records)]
+                    rows += [(path, "wmf", r.seq, None, *r[1:]) for r in wmf_records(b, head, most)]
                     continue
-                for r in emf_records(b, max_records):
+                for r in emf_records(b, most):
                     rows.append((path, "emf", r.seq, None, *r[1:]))
                     if span := plus_comment(b, r):
-                        rows += [(path, "emfplus", p.seq, r.seq, *p[1:]) for p in plus_records(b, *span)]
+                        rows += [(path, "emfplus", p.seq, r.seq, *p[1:]) for p in plus_records(b, *span, most_plus)]
             for lo in range(0, len(rows), 50_000):
                 part = list(zip(*rows[lo : lo + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names)

@@ -6,8 +6,6 @@ import math
 import struct
 from typing import Any
 
-import numpy as np
-
 from .. import constants as K
 from . import bitmaps, clip
 
@@ -32,10 +30,13 @@ def at(m, x: float, y: float) -> tuple[float, float]:
 
 
 class Cursor:
-    """Checked little-endian reads; struct.error past the end."""
+    """Checked little-endian reads up to ``end``; struct.error past it."""
+
+    def __init__(self, b: bytes, pos: int = 0, end: int | None = None):
+        self.b, self.pos = memoryview(b)[:end], pos
 
-    def __init__(self, b: bytes, pos: int = 0):
-        self.b, self.pos = b, pos
+    def raw(self, a: int, b: int | None = None) -> bytes:
+        return bytes(self.b[a:b])
 
     def take(self, fmt: str) -> Any:
         v = struct.unpack_from("<" + fmt, self.b, self.pos)
@@ -265,7 +266,3 @@ def region_shapes(nodes: list[tuple], m) -> tuple[clip.Region, bool]:
             exact &= ok
             stack.append(r)
     return stack[-1], exact
-
-
-def array_matrix(m) -> list[float]:
-    return [float(x) for x in np.asarray(m, float)]

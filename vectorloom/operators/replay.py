@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import constants as K
-from . import bitmaps, clip, plus
+from . import bitmaps, clip, glyphs, plus
 from .framing import emf_records, plus_comment, plus_records, wmf_records
 from .plus import IDENTITY, Cursor, at, times
 
@@ -49,7 +49,20 @@ def colorref(v: int) -> str:
 
 
 def inverted(color: str) -> str:
-    return "#" + "".join(f"{255 - int(color[i : i + 2], 16):02x}" for i in (1, 3, 5)) if color.startswith("#") and len(color) == 7 else color
+    """The inverse of #rgb, #rrggbb, rgb() and rgba(), channels cut off at 255; other strings unchanged."""
+    c = color.strip().lower()
+    if c.startswith("#") and len(c) in (4, 7):
+        digits = c[1:] if len(c) == 7 else "".join(x * 2 for x in c[1:])
+        try:
+            return "#" + bytes(255 - v for v in bytes.fromhex(digits)).hex()
+        except ValueError:
+            return color
+    name, _, rest = c.partition("(")
+    parts = [x.strip() for x in rest.removesuffix(")").split(",")]
+    if name in ("rgb", "rgba") and rest.endswith(")") and len(parts) in (3, 4) and all(x.isdecimal() for x in parts[:3]):
+        flipped = [str(255 - min(255, int(x))) for x in parts[:3]]
+        return f"rgba({','.join([*flipped, parts[3]])})" if len(parts) == 4 else f"rgb({','.join(flipped)})"
+    return color
 
 
 def rop_color(mode: int, color: str) -> str:
@@ -77,11 +90,11 @@ def on_plus(*numbers: int):
 class Replay:
     """Drawing state and display list of one file."""
 
-    def __init__(self, bounds: tuple[int, int, int, int], canvas: tuple[int, int], dpi: float = 1.0, fonts: dict[str, str] | None = None):
+    def __init__(self, bounds: tuple[int, int, int, int], canvas: tuple[int, int], dpi: float = 1.0, fonts: dict[str, str] | None = None, most_plus: int = K.MAX_PLUS_RECORDS):
         left, top, right, bottom = bounds
         self.left, self.top = left, top
         w, h = right - left, bottom - top
-        self.canvas, self.dpi = canvas, dpi
+        self.canvas, self.dpi, self.most_plus = canvas, dpi, most_plus
         self.fonts = {k.lower().strip(): v for k, v in (fonts or {}).items()}
         self.sx, self.sy = (canvas[0] / w if w else 1.0), (canvas[1] / h if h else 1.0)
         self.s, self.saved = State(), []
@@ -97,7 +110,7 @@ class Replay:
         self.seq = 0
         self.gco, self.dash = "source-over", []
         self.plus_objects: dict[int, dict] = {}
-        self.plus_world, self.plus_clip, self.plus_saved = IDENTITY, None, []
+        self.plus_world, self.plus_clip, self.plus_saved = IDENTITY, (None, True), []
         self.unit = 1.0
         self.partial: tuple | None = None
         self.unhandled: list[int] = []
@@ -156,9 +169,9 @@ class Replay:
         name = f'"{name}"' if any(c in name for c in " ,\t") and name[:1] not in "\"'" else name
         css = " ".join(v for v in ("italic" if italic else "", bold, f"{size:g}px", name) if v)
         more = {"transform": transform} if transform else {}
-        self.emit("text", [("M", [x, y])], fill=color, text=s, font=css, align=align, baseline=baseline, **more)
+        self.emit("text", [("M", [x, y])], fill=color, text=s, font=css, align=align, baseline=baseline, size=size, bold=weight >= 600, **more)
         thick = max(1, math.floor(size / 14 + 0.5))
-        width = 0.6 * size * len(s)  # glyph metrics belong to the host; this is the usual mean advance
+        width = glyphs.width(s, size)
         left = x - {"center": width / 2, "right": width}.get(align, 0)
         for on, dy in ((underline, math.floor(0.12 * size + 0.5)), (strike, -math.floor(0.3 * size + 0.5))):
             if on:
@@ -182,7 +195,7 @@ class Replay:
             elif r.rtype in EMF_HANDLERS:
                 least, f = EMF_HANDLERS[r.rtype]
                 if r.size >= least:
-                    self.guard(f, Cursor(b[: r.off + r.size], r.data), r)
+                    self.guard(f, Cursor(b, r.data, r.off + r.size), r)
             elif r.rtype not in (14, 70, *K.EMF_SKIPPED):
                 self.unhandled.append(r.rtype)
 
@@ -195,21 +208,21 @@ class Replay:
             if r.rtype in WMF_HANDLERS:
                 least, f = WMF_HANDLERS[r.rtype]
                 if r.size >= least:
-                    self.guard(f, Cursor(b[: r.off + r.size], r.data), r)
+                    self.guard(f, Cursor(b, r.data, r.off + r.size), r)
 
     def run_plus(self, b: bytes, off: int, end: int) -> None:
         """Page transform and an unfinished object last for one comment; all else carries on."""
         self.unit, self.partial = 1.0, None
-        gdi, self.clip = self.clip, self.plus_clip
-        for r in plus_records(b, off, end):
+        gdi, (self.clip, self.exact) = (self.clip, self.exact), self.plus_clip
+        for r in plus_records(b, off, end, self.most_plus):
             if r.rtype == 0x4008:
-                self.guard(_object, Cursor(b[: r.data + r.data_size], r.data), r)
+                self.guard(_object, Cursor(b, r.data, r.data + r.data_size), r)
                 continue
             if (f := PLUS_HANDLERS.get(r.rtype)) is not None:
-                self.guard(f, Cursor(b[: r.data + r.data_size], r.data), r)
+                self.guard(f, Cursor(b, r.data, r.data + r.data_size), r)
             elif r.rtype not in K.EMFPLUS:
                 self.unhandled.append(r.rtype)
-        self.plus_clip, self.clip = self.clip, gdi
+        self.plus_clip, (self.clip, self.exact) = (self.clip, self.exact), gdi
 
     def guard(self, f: Callable, c: Cursor, r) -> None:
         try:
@@ -255,11 +268,11 @@ def save(d: Replay, c: Cursor, r) -> None:
 
 @emf(34, least=12)
 def restore(d: Replay, c: Cursor, r) -> None:
+    """To a level counted from 1, or back from the last; one past the stack is the last, one before it empties the stack."""
     level = c.take("i")
-    to = len(d.saved) + level if level < 0 else level - 1
-    if 0 <= to < len(d.saved):
-        d.s, d.clip, d.exact = d.saved[to]
-        del d.saved[to:]
+    del d.saved[max(0, len(d.saved) + level + 1 if level < 0 else level) :]
+    if d.saved:
+        d.s, d.clip, d.exact = d.saved.pop()
 
 
 @wmf(0x127)
@@ -341,7 +354,7 @@ def create_brush(d: Replay, c: Cursor, r) -> None:
 
 @emf(82, least=332)
 def create_font(d: Replay, c: Cursor, r) -> None:
-    b = c.b[c.pos :]
+    b = c.raw(c.pos)
     handle, height, weight = struct.unpack_from("<Ii12xi", b)
     name = b[28:92].decode("utf-16-le", "replace").split("\0")[0]  # four bytes early, which results must equal
     d.objects[handle] = ("font", {"font": (abs(height), weight, bool(b[24]), bool(b[25]), bool(b[26]), name or "sans-serif")})
@@ -383,7 +396,7 @@ def wmf_brush(d: Replay, c: Cursor, r) -> None:
 @wmf(0x2FB, least=24)
 def wmf_font(d: Replay, c: Cursor, r) -> None:
     height, _, _, _, weight, italic, underline, strike = c.take("hhhhhBBB")
-    name = c.b[c.pos + 5 :].split(b"\0")[0].decode("latin-1")
+    name = c.raw(c.pos + 5).split(b"\0")[0].decode("latin-1")
     _slot(d, ("font", {"font": (abs(height), weight, bool(italic), bool(underline), bool(strike), name or "sans-serif")}))
 
 
@@ -621,7 +634,7 @@ def offset_clip(d: Replay, c: Cursor, r) -> None:
 @emf(84, least=76)
 def text_out(d: Replay, c: Cursor, r) -> None:
     x, y, n, off = struct.unpack_from("<iiII", c.b, r.off + 36)
-    s = c.b[r.off + off : r.off + off + 2 * n].decode("utf-16-le", "replace").split("\0")[0]
+    s = c.raw(r.off + off, r.off + off + 2 * n).decode("utf-16-le", "replace").split("\0")[0]
     if not s:
         return
     size = max(d.s.font[0] * (abs(d.gh(1)) or 1), 8)
@@ -629,7 +642,7 @@ def text_out(d: Replay, c: Cursor, r) -> None:
     baseline = {0x18: "alphabetic", 0x08: "bottom"}.get(d.s.align & 0x18, "top")
     px, py = d.pt(x, y)
     if d.s.bk_mode == 2:
-        d.emit("fill", [("R", [px, py - size, 0.6 * size * len(s), size])], fill=d.s.bk_color, fill_rule="nonzero")
+        d.emit("fill", [("R", [px, py - size, glyphs.width(s, size), size])], fill=d.s.bk_color, fill_rule="nonzero")
     d.text(s, px, py, size, align, baseline, d.s.text_color, d.s.font)
 
 
@@ -642,7 +655,7 @@ def _wmf_text(d: Replay, s: bytes, x: int, y: int) -> None:
 @wmf(0x521, least=12)
 def wmf_text_out(d: Replay, c: Cursor, r) -> None:
     n = c.take("h")
-    s = c.b[c.pos : c.pos + n]
+    s = c.raw(c.pos, c.pos + n)
     c.pos += n + n % 2
     y, x = c.take("hh")
     _wmf_text(d, s, x, y)
@@ -652,7 +665,7 @@ def wmf_text_out(d: Replay, c: Cursor, r) -> None:
 def wmf_ext_text_out(d: Replay, c: Cursor, r) -> None:
     y, x, n, opts = c.take("hhhH")
     c.pos += 8 if opts & 4 else 0
-    _wmf_text(d, c.b[c.pos : c.pos + n], x, y)
+    _wmf_text(d, c.raw(c.pos, c.pos + n), x, y)
 
 
 @emf(76, least=96)
@@ -668,7 +681,7 @@ def bit_blt(d: Replay, c: Cursor, r) -> None:
 
 
 def _dib(c: Cursor, r, header: int, bits: int, bits_size: int):
-    return bitmaps.dib(c.b[r.off : r.off + r.size], header, bits) if bits_size else None
+    return bitmaps.dib(c.raw(r.off, r.off + r.size), header, bits, bits_size) if bits_size else None
 
 
 @emf(81, least=80)
@@ -684,7 +697,7 @@ def stretch_dib(d: Replay, c: Cursor, r) -> None:
 
 def _object(d: Replay, c: Cursor, r) -> None:
     """Continued objects gather their parts until the last one, or one of another id."""
-    ident, kind, data = r.flags & 0xFF, r.flags >> 8 & 0x7F, c.b[c.pos :]
+    ident, kind, data = r.flags & 0xFF, r.flags >> 8 & 0x7F, c.raw(c.pos)
     if r.flags & 0x8000:
         if d.partial and d.partial[:2] == (ident, kind):
             d.partial[3].append(data)
@@ -780,7 +793,7 @@ def _plus_text(d: Replay, s: str, x: float, y: float, r, value: int, align: str,
 @on_plus(0x401C)
 def plus_string(d: Replay, c: Cursor, r) -> None:
     value, fmt, n, x, y, w, h = c.take("IIIffff")
-    s = c.b[c.pos : c.pos + 2 * n].decode("utf-16-le", "replace").split("\0")[0]
+    s = c.raw(c.pos, c.pos + 2 * n).decode("utf-16-le", "replace").split("\0")[0]
     f = d.plus_objects.get(fmt & 0xFF, {})
     align = {1: "center", 2: "right"}.get(f.get("align", 0) if f.get("kind") == "format" else 0, "left")
     _plus_text(d, s, x, y, r, value, align, "top")
@@ -791,7 +804,7 @@ def plus_glyphs(d: Replay, c: Cursor, r) -> None:
     value, _, _, n = c.take("IIII")
     if not 0 < n < K.MAX_POINTS:
         return
-    s = c.b[c.pos : c.pos + 2 * n].decode("utf-16-le", "replace")
+    s = c.raw(c.pos, c.pos + 2 * n).decode("utf-16-le", "replace")
     c.pos = (c.pos + 2 * n + 3) & ~3
     _plus_text(d, s, *c.take("ff"), r, value, "left", "alphabetic")
 
@@ -897,9 +910,10 @@ def plus_offset_clip(d: Replay, c: Cursor, r) -> None:
     d.clip = clip.translate(d.clip, m[0] * dx + m[2] * dy, m[1] * dx + m[3] * dy)
 
 
-def replay(content: bytes, kind: str, bounds, canvas, header_size: int = 0, dpi: float = 1.0, most: int = K.MAX_RECORDS, fonts=None) -> list[dict]:
-    """Display list in painting order: images of EMF+ come after all else."""
-    d = Replay(bounds, canvas, dpi, fonts)
+def replay(content: bytes, kind: str, bounds, canvas, header_size: int = 0, dpi: float = 1.0, most: int | None = None, fonts=None) -> list[dict]:
+    """Display list in painting order: images of EMF+ come after all else. ``most`` records of each stream, if given."""
+    d = Replay(bounds, canvas, dpi, fonts, most or K.MAX_PLUS_RECORDS)
+    most = most or K.MAX_RECORDS
     d.run_wmf(content, header_size, most) if kind == "wmf" else d.run_emf(content, most)
     return [*({"phase": 0} | o for o in d.ops), *({"phase": 1} | o for o in d.late)]
 
@@ -924,7 +938,7 @@ def row(path: str, i: int, o: dict) -> tuple:
     )
 
 
-def display_list(files: DataFrame, dpi: float = 1.0, max_records: int = K.MAX_RECORDS, fonts: dict[str, str] | None = None) -> DataFrame:
+def display_list(files: DataFrame, dpi: float = 1.0, max_records: int | None = None, fonts: dict[str, str] | None = None) -> DataFrame:
     """Files with headers to display list rows; files that can't be rendered have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema()

@@ -5,37 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import GDI_DASH, PAGE_UNIT, ROP2, STOCK
 from ..functions import scalars as S
 from ..operators.replay import display_list
 from ..sources import encode
 from ..sources.metafiles import with_headers
+from . import drawings, drawings_plus, streams
+from .registry import QUERIES, SQL, query, t
 from .render import render
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def case(x: str, table: dict, other: str) -> str:
-    return f"CASE {x} " + " ".join(f"WHEN {k} THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
-
+__all__ = ["QUERIES", "SQL", "drawings", "drawings_plus", "streams"]
 
 # Metafiles made from rows, and read back
 
@@ -113,213 +94,9 @@ def emfplus_roundtrip(spark, d):
     return ops.groupBy(F.col("path").alias("p_brand")).agg(F.count("*").alias("n"), F.sum(p[2] * m[0] * p[3] * m[3]).alias("area"))
 
 
-# Dataflow and state
-
-
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
-def record_histogram(spark, d):
-    return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-
-
-def by_user():
-    return Window.partitionBy("user_id").orderBy("event_id")
-
-
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3")
-def record_cap_per_stream(spark, d):
-    return t(spark, d, "events").withColumn("k", F.row_number().over(by_user())).filter("k <= 3").select("user_id", "event_id")
-
-
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS e FROM events) WHERE e IS NULL OR event_id <= e")
-def truncate_at_terminator(spark, d):
-    """Through the first terminator: its place per stream is a combined minimum, not a window over all rows."""
-    ev = t(spark, d, "events").select("user_id", "event_id", "event_type")
-    first = ev.filter("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("e"))
-    return ev.join(first, "user_id", "left").filter("e IS NULL OR event_id <= e").drop("e")
-
-
-@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'error')")
-def skip_list_filter(spark, d):
-    return t(spark, d, "events").filter(~F.col("event_type").isin("view", "error")).select("event_id", "event_type")
-
-
-@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
-def unhandled_types(spark, d):
-    handled = spark.sql("SELECT * FROM VALUES ('view'), ('click'), ('purchase') AS t(event_type)")
-    return t(spark, d, "events").join(F.broadcast(handled), "event_type", "left_anti").select("event_id", "event_type")
-
-
-@query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
-  OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS setting FROM events""")
-def running_setting(spark, d):
-    v = F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(by_user().rowsBetween(Window.unboundedPreceding, 0))
-    return t(spark, d, "events").select("event_id", F.coalesce(v, F.lit(0.0)).alias("setting"))
-
-
-@query("SELECT event_id, lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY event_id) AS x0, value AS x1 FROM events")
-def pen_position_segments(spark, d):
-    return t(spark, d, "events").select("event_id", F.lag("value", 1, 0.0).over(by_user()).alias("x0"), F.col("value").alias("x1"))
-
-
-@query("""SELECT event_id, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM events""")
-def save_depth(spark, d):
-    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1).otherwise(0)
-    return t(spark, d, "events").select("event_id", F.sum(step).over(by_user().rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-
-
-@query("""SELECT a.event_id, arg_max(b.value, b.event_id) AS object FROM (SELECT * FROM events WHERE event_type = 'click') a
-  LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND b.event_id < a.event_id GROUP BY a.event_id""")
-def handle_asof_lookup(spark, d):
-    """Latest event of a handle before its use, in one sort of the stream instead of a range join."""
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("value")), ignorenulls=True).over(by_user().rowsBetween(Window.unboundedPreceding, -1))
-    return t(spark, d, "events").filter(F.col("event_type").isin("view", "click")).withColumn("object", seen).filter("event_type = 'click'").select("event_id", "object")
-
-
-@query(f"SELECT p_partkey, coalesce({case('p_size', {k: repr(v[0] + ':' + v[2]) for k, v in STOCK.items()}, 'NULL')}, 'table:' || p_brand) AS object FROM part")
-def stock_or_table_object(spark, d):
-    stock = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{v[0]}:{v[2]}')" for k, v in STOCK.items()) + " AS t(p_size, stock)")
-    return t(spark, d, "part").join(F.broadcast(stock), "p_size", "left").select("p_partkey", F.coalesce("stock", F.concat(F.lit("table:"), "p_brand")).alias("object"))
-
-
-@query("""SELECT turn, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'user'), turn) AS place FROM conversations""")
-def deferred_after_sync(spark, d):
-    w = Window.partitionBy("conv_id").orderBy((F.col("role") == "user"), "turn")
-    return t(spark, d, "conversations").select("turn", "conv_id", F.row_number().over(w).cast("long").alias("place"))
-
-
-@query("SELECT conv_id, substr(string_agg(text, '' ORDER BY turn), 1, 200) AS object FROM conversations GROUP BY conv_id")
-def continuation_assemble(spark, d):
-    """The first 200 characters; ``continuation_whole`` has all."""
-    return _assembled(t(spark, d, "conversations")).withColumn("object", F.substring("object", 1, 200))
-
-
-def _assembled(parts: DataFrame) -> DataFrame:
-    x = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    return parts.groupBy("conv_id").agg(F.concat_ws("", F.transform(x, lambda x: x["text"])).alias("object"))
-
-
-@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS object FROM conversations GROUP BY conv_id")
-def continuation_whole(spark, d):
-    return _assembled(t(spark, d, "conversations"))
-
-
 # Scalars
 
 
-def num(x: str, m: int) -> Column:
-    return F.expr(f"pmod({x} * 2654435761, {m})")
-
-
-HASH = "((c_custkey * 2654435761) % 4294967296)"
-
-
-@query("SELECT c_custkey, printf('#%02x%02x%02x', c_custkey & 255, (c_custkey >> 4) & 255, c_nationkey & 255) AS hex FROM customer")
-def colorref_hex(spark, d):
-    return t(spark, d, "customer").select("c_custkey", S.colorref_hex(F.col("c_custkey"), F.shiftright("c_custkey", 4), F.col("c_nationkey")).alias("hex"))
-
-
-RGBA = "printf('rgba(%d,%d,%d,%.3f)', ({0} >> 16) & 255, ({0} >> 8) & 255, {0} & 255, (({0} >> 24) & 255) / 255.0)"
-
-
-@query(f"SELECT c_custkey, {RGBA.format(HASH)} AS rgba FROM customer")
-def argb_rgba(spark, d):
-    return t(spark, d, "customer").select("c_custkey", S.argb_rgba(num("c_custkey", 1 << 32)).alias("rgba"))
-
-
-def _lerp_sql(s: int) -> str:
-    return f"floor((({HASH} >> {s}) & 255) + (255 - 2.0 * (({HASH} >> {s}) & 255)) * least(1.0, (c_nationkey % 10) / 8.0) + 0.5)"
-
-
-@query(f"SELECT c_custkey, printf('rgba(%d,%d,%d,%.3f)', {_lerp_sql(16)}::BIGINT, {_lerp_sql(8)}::BIGINT, {_lerp_sql(0)}::BIGINT, {_lerp_sql(24)} / 255.0) AS rgba FROM customer")
-def lerp_argb(spark, d):
-    a = num("c_custkey", 1 << 32)
-    return t(spark, d, "customer").select("c_custkey", S.lerp_argb(a, F.lit((1 << 32) - 1) - a, F.col("c_nationkey") % 10 / 8.0).alias("rgba"))
-
-
-@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN printf('#%02x%02x%02x', 255 - (c_custkey & 255), 255 - ((c_custkey >> 4) & 255), 255 - c_nationkey)
-  WHEN 1 THEN printf('rgba(%d,%d,%d,0.500)', 255 - (c_custkey & 255), 255 - ((c_custkey >> 4) & 255), 255 - c_nationkey) ELSE 'red' END AS css FROM customer""")
-def invert_color(spark, d):
-    r, g, b = F.col("c_custkey").bitwiseAND(F.lit(255)), F.shiftright("c_custkey", 4).bitwiseAND(F.lit(255)), F.col("c_nationkey")
-    k = F.col("c_custkey") % 3
-    css = F.when(k == 0, S.colorref_hex(r, g, b)).when(k == 1, F.format_string("rgba(%d,%d,%d,0.500)", r, g, b)).otherwise("red")
-    return t(spark, d, "customer").select("c_custkey", S.invert_color(css).alias("css"))
-
-
-@query(
-    "SELECT p_partkey, "
-    + case("p_size % 18", {k: repr(v[0]) for k, v in ROP2.items()}, "'source-over'") + " AS gco, "
-    + case("p_size % 18", {k: {"black": "'#000000'", "white": "'#ffffff'", "transparent": "'transparent'", "invert": "'#efdfcf'", "same": "'#102030'"}[v[1]] for k, v in ROP2.items()}, "'#102030'")
-    + " AS color, " + case("p_size % 18", {k: str(v[2]).lower() for k, v in ROP2.items()}, "true") + " AS exact FROM part"
-)
-def rop2_modes(spark, d):
-    m = F.col("p_size") % 18
-    return t(spark, d, "part").select("p_partkey", S.rop2_gco(m).alias("gco"), S.rop2_color(m, F.lit("#102030")).alias("color"), S.rop2_exact(m).alias("exact"))
-
-
-@query("SELECT p_partkey, " + case("p_size % 6", {k: repr(",".join(f"{float(x)}" for x in v)) for k, v in GDI_DASH.items()}, "''") + " AS dash FROM part")
-def dash_patterns(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.array_join(S.dash(F.col("p_size") % 6).cast("array<string>"), ",").alias("dash"))
-
-
-@query("SELECT p_partkey, p_size * 0.5 * " + case("p_size % 8", {k: repr(v) + "::DOUBLE" for k, v in PAGE_UNIT.items()}, "1.0::DOUBLE") + " AS px FROM part")
-def page_unit_scale(spark, d):
-    return t(spark, d, "part").select("p_partkey", (F.col("p_size") * 0.5 * S.page_unit(F.col("p_size") % 8, F.lit(1.0))).alias("px"))
-
-
-@query("""SELECT p_partkey, CASE WHEN w IN (0, 400) OR r = 400 THEN '' WHEN r = 700 THEN 'bold' WHEN r BETWEEN 100 AND 900 THEN r::VARCHAR WHEN r >= 700 THEN 'bold' ELSE '' END AS weight
-  FROM (SELECT p_partkey, p_size * 23 AS w, (floor(p_size * 23 / 100.0 + 0.5) * 100)::BIGINT AS r FROM part)""")
-def font_weight(spark, d):
-    return t(spark, d, "part").select("p_partkey", S.font_weight(F.col("p_size") * 23).alias("weight"))
-
-
-@query("""SELECT p_partkey, CASE WHEN f LIKE '% %' THEN '"' || f || '"' ELSE f END AS family
-  FROM (SELECT p_partkey, CASE lower(trim(p_brand)) WHEN 'brand#11' THEN 'Segoe UI' WHEN 'brand#12' THEN 'serif' ELSE p_brand || ' x' END AS f FROM part)""")
-def font_family_map(spark, d):
-    face = F.when(F.lower("p_brand").isin("brand#11", "brand#12"), F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" x")))
-    return t(spark, d, "part").select("p_partkey", S.font_family(face, {"Brand#11": "Segoe UI", " BRAND#12 ": "serif"}).alias("family"))
-
-
-@query("""SELECT p_partkey, floor(((p_partkey >> 11) & 31) * 255 / 31.0 + 0.5)::BIGINT AS r, floor(((p_partkey >> 5) & 63) * 255 / 63.0 + 0.5)::BIGINT AS g,
-  floor((p_partkey & 31) * 255 / 31.0 + 0.5)::BIGINT AS b FROM part""")
-def bitfield_565(spark, d):
-    ch = lambda s, m: S.js_round(F.shiftright("p_partkey", s).bitwiseAND(F.lit(m)) * 255 / F.lit(float(m)))
-    return t(spark, d, "part").select("p_partkey", ch(11, 31).alias("r"), ch(5, 63).alias("g"), ch(0, 31).alias("b"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 256 = 0 THEN 0 ELSE least(255, floor(p_size * 255.0 / (p_partkey % 256) + 0.5)) END::BIGINT AS v FROM part")
-def unpremultiply(spark, d):
-    a = F.col("p_partkey") % 256
-    return t(spark, d, "part").select("p_partkey", F.when(a == 0, F.lit(0)).otherwise(F.least(F.lit(255), S.js_round(F.col("p_size") * 255.0 / F.when(a != 0, a)))).cast("long").alias("v"))
-
-
-@query("SELECT s_nationkey, round(max(sqrt(s_suppkey * s_suppkey::DOUBLE + s_acctbal * s_acctbal)), 6) AS r FROM supplier GROUP BY s_nationkey")
-def radial_radius(spark, d):
-    return t(spark, d, "supplier").groupBy("s_nationkey").agg(F.round(F.max(F.sqrt(F.col("s_suppkey") * F.col("s_suppkey").cast("double") + F.col("s_acctbal") * F.col("s_acctbal"))), 6).alias("r"))
-
-
-@query("SELECT s_nationkey, string_agg(s_suppkey::VARCHAR, ',' ORDER BY greatest(0.0, least(1.0, s_acctbal / 5000)), s_suppkey) AS stops FROM supplier GROUP BY s_nationkey")
-def gradient_stop_order(spark, d):
-    off = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_acctbal") / 5000))
-    stops = F.array_sort(F.collect_list(F.struct(off.alias("o"), "s_suppkey")))
-    return t(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(stops, lambda x: x["s_suppkey"].cast("string")), ",").alias("stops"))
-
-
-@query("SELECT p_partkey, round(atan2((p_partkey % 97 - 25.0) / 25, (p_size - 50.0) / 50), 9) AS a, round(atan2((p_size - 25.0) / 25, (p_partkey % 89 - 50.0) / 50), 9) AS b FROM part")
-def arc_angles(spark, d):
-    lit = [F.lit(float(v)) for v in (0, 0, 100, 50)]
-    a, b = S.arc_angles(*lit, F.col("p_size"), F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size"))
-    return t(spark, d, "part").select("p_partkey", F.round(a, 9).alias("a"), F.round(b, 9).alias("b"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, (l_quantity * 2 + 3 - 10) / 50 * 640 + 5 AS x, (l_tax * 100 - 1 - 0) / 1 * 480 + 0 AS y FROM lineitem""")
-def device_coords(spark, d):
-    f = lambda *v: [F.lit(float(x)) for x in v]
-    x = S.map_axis(F.col("l_quantity"), *f(2, 3, 10, 50, 5, 640))
-    y = S.map_axis(F.col("l_tax"), *f(100, -1, 0, 0, 0, 480))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
-
-
 @query("""SELECT p_partkey, greatest(1, least(8192, floor(w1 * f2 + 0.5)))::BIGINT AS w, greatest(1, least(8192, floor(h1 * f2 + 0.5)))::BIGINT AS h FROM (
   SELECT *, CASE WHEN h1 > 900 THEN 900 / h1 ELSE 1.0 END AS f2 FROM (
   SELECT *, floor(cw * f1 + 0.5) AS w1, floor(ch * f1 + 0.5) AS h1 FROM (
@@ -330,70 +107,11 @@ def canvas_fit(spark, d):
     return t(spark, d, "part").select("p_partkey", w.alias("w"), h.alias("h"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 25 AND p_partkey % 3 > 0 THEN p_size - 25 WHEN p_partkey % 5 > 0 THEN p_partkey % 5 END::BIGINT AS w FROM part""")
-def bounds_fallback(spark, d):
-    own = F.when((F.col("p_size") > 25) & (F.col("p_partkey") % 3 > 0), F.col("p_size") - 25)
-    return t(spark, d, "part").select("p_partkey", F.coalesce(own.cast("long"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 5)).alias("w"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, a AND b AS in_intersect, a AND NOT b AS in_exclude, a <> b AS in_xor, a OR b AS in_union, b AND NOT a AS in_complement FROM (
-  SELECT *, l_quantity >= 10 AND l_quantity < 40 AND l_linenumber >= 2 AND l_linenumber < 6 AS a, l_quantity >= 25 AND l_quantity < 50 AND l_linenumber >= 1 AND l_linenumber < 4 AS b FROM lineitem)""")
-def clip_membership(spark, d):
-    q, n = F.col("l_quantity"), F.col("l_linenumber")
-    inside = lambda x0, x1, y0, y1: (q >= x0) & (q < x1) & (n >= y0) & (n < y1)
-    a, b = inside(10, 40, 2, 6), inside(25, 50, 1, 4)
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (a & b).alias("in_intersect"), (a & ~b).alias("in_exclude"), (a != b).alias("in_xor"), (a | b).alias("in_union"), (b & ~a).alias("in_complement"))
-
-
 @query("SELECT item_id, 'data:image/png;base64,' || base64(encode(text)) AS url FROM benchmark")
 def data_url(spark, d):
     return t(spark, d, "benchmark").select("item_id", S.data_url(F.encode("text", "UTF-8")).alias("url"))
 
 
-@query("SELECT c_custkey, c_name AS face FROM customer")
-def utf16_text(spark, d):
-    raw = F.encode(F.concat("c_name", F.lit("\0junk")), "UTF-16LE")
-    return t(spark, d, "customer").select("c_custkey", S.utf16(raw).alias("face"))
-
-
-# Ordered folds and recursion
-
-
-@query("""SELECT user_id, m.a AS a, m.b AS b FROM (
-  SELECT user_id, list_reduce(list({'a': 1.0::DOUBLE + (event_id % 3) / 8.0::DOUBLE, 'b': (event_id % 7)::DOUBLE} ORDER BY event_id),
-    lambda p, x: {'a': p.a * x.a, 'b': p.a * x.b + p.b}) AS m FROM events WHERE event_id % 4 = 0 GROUP BY user_id)""")
-def affine_prefix_product(spark, d):
-    """Composition of every fourth of a stream's transforms, in order; ``affine_product_whole`` takes all."""
-    return _affine(t(spark, d, "events").filter("event_id % 4 = 0"))
-
-
-def _affine(events: DataFrame) -> DataFrame:
-    step = F.struct("event_id", (1 + F.col("event_id") % 3 / 8.0).alias("a"), (F.col("event_id") % 7).cast("double").alias("b"))
-    per = events.groupBy("user_id").agg(F.sort_array(F.collect_list(step)).alias("x"))
-    fold = "aggregate(x, struct(1D AS a, 0D AS b), (p, m) -> struct(p.a * m.a AS a, p.a * m.b + p.b AS b))"
-    return per.select("user_id", F.expr(fold).alias("m")).select("user_id", "m.a", "m.b")
-
-
-@query("""SELECT user_id, m.a AS a, m.b AS b FROM (
-  SELECT user_id, list_reduce(list({'a': 1.0::DOUBLE + (event_id % 3) / 8.0::DOUBLE, 'b': (event_id % 7)::DOUBLE} ORDER BY event_id),
-    lambda p, x: {'a': p.a * x.a, 'b': p.a * x.b + p.b}) AS m FROM events GROUP BY user_id)""")
-def affine_product_whole(spark, d):
-    """Composition of all of a stream's transforms, in order."""
-    return _affine(t(spark, d, "events"))
-
-
-NESTED = """WITH RECURSIVE r(node, depth) AS (
-  SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey < 2
-  UNION ALL SELECT n.n_nationkey, r.depth + 1 FROM r JOIN {nation} n ON n.n_nationkey >= 2 AND CAST(floor(n.n_nationkey / 2.0) AS INT) = r.node WHERE r.depth < 3)
-SELECT node, depth FROM r"""
-
-
-@query(NESTED.format(nation="nation"))
-def embedded_depth(spark, d):
-    """Nesting through parents, cut at three levels."""
-    return spark.sql(NESTED, nation=t(spark, d, "nation"))
-
-
 @query("SELECT 'emf' AS stream, 'unhandled record type ' || (200 + n_regionkey) AS message, count(*) AS n FROM nation GROUP BY ALL")
 def diagnostics_by_message(spark, d):
     """One EMF per nation with a record of an unknown type, numbered by its region."""

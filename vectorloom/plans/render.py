@@ -9,56 +9,17 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.scalars import data_url
-from ..operators import bitmaps, raster
-from ..operators.replay import _cmds, replay
+from ..operators import raster
+from ..operators.embedded import draw
+from ..operators.replay import replay
 from ..sources.metafiles import Options, with_headers
 
 
-def _embedded(data: bytes | None, metafile: bool, depth: int) -> np.ndarray | None:
-    """Pixels of an image object that isn't raw: a metafile up to MAX_DEPTH deep, a bitmap file, or None."""
-    if not data:
-        return None
-    if metafile:
-        return draw_bytes(data, depth + 1)
-    return bitmaps.dib(data, 14, struct.unpack_from("<I", data, 10)[0]) if data[:2] == b"BM" and len(data) > 54 else None
-
-
-def draw_bytes(b: bytes, depth: int = 0, dpi: float = 1.0) -> np.ndarray | None:
-    """A metafile given as bytes at its own size."""
-    if depth > K.MAX_DEPTH:
-        return None
-    if len(b) >= 88 and struct.unpack_from("<I", b)[0] == 1:
-        bounds = struct.unpack_from("<4i", b, 8)
-        if bounds[2] <= bounds[0] or bounds[3] <= bounds[1]:
-            f = struct.unpack_from("<4i", b, 24)
-            bounds = (0, 0, f[2] - f[0], f[3] - f[1])
-        kind, head = "emf", 0
-    elif len(b) >= 40 and struct.unpack_from("<I", b)[0] == K.PLACEABLE:
-        bounds, kind, head = struct.unpack_from("<4h", b, 6), "wmf", 22 + 2 * struct.unpack_from("<H", b, 24)[0]
-    else:
-        return None
-    w, h = bounds[2] - bounds[0], bounds[3] - bounds[1]
-    if w <= 0 or h <= 0:
-        return None
-    size = min(w, K.MAX_SIDE), min(h, K.MAX_SIDE)
-    return draw(replay(b, kind, bounds, size, head, dpi), *size, depth)
-
-
-def draw(ops: list[dict], w: int, h: int, depth: int = 0) -> np.ndarray:
-    for o in ops:
-        if o["op"] == "image" and o.get("pixels") is None:
-            o["pixels"] = _embedded(o.get("data"), bool(o.get("metafile")), depth)
-    plain = [o | {"geom": _cmds(o["geom"]), "clip": [{"rule": s.rule, "cmds": _cmds(s.cmds)} for s in o["clip"] or []]} for o in ops]
-    return raster.render(plain, w, h)
-
-
 SCHEMA = "path string, width int, height int, painted long, png binary"
 
 
@@ -77,7 +38,7 @@ def render(files: DataFrame, options: Options | None = None) -> DataFrame:
                     if content is not None and b is not None:
                         try:
                             done = draw(replay(content, kind, (b["left"], b["top"], b["right"], b["bottom"]), (w, h), head, o.dpi_scale, o.max_records, o.font_family_map), w, h)
-                        except (struct.error, ValueError, IndexError, OverflowError, MemoryError):
+                        except (struct.error, ValueError, IndexError, OverflowError):
                             done = None  # a bad file is a null, not a failed job
                     rows.append((path, w, h, None, None) if done is None else (path, w, h, int((done[..., 3] > 0).sum()), raster.png(done)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

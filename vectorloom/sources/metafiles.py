@@ -13,13 +13,13 @@ from ..functions.scalars import canvas_size, i_le, u_le
 
 @dataclass(frozen=True)
 class Options:
-    """Limits and mappings of a conversion; None leaves a side unlimited."""
+    """Limits and mappings of a conversion; None leaves a side unlimited, and the records of a stream at the defaults."""
 
     max_width: int | None = None
     max_height: int | None = None
     dpi_scale: float = K.DEFAULT_DPI_SCALE
     max_canvas_dimension: int = K.MAX_SIDE
-    max_records: int = K.MAX_RECORDS
+    max_records: int | None = None
     font_family_map: dict[str, str] = field(default_factory=dict)
 
 
