@@ -33,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
 from .token_counts import byte_alphabet
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that wait at most, and those left before more are read.
 POOL, LOW = 256, 128
-#: Chunks, and pre-tokens, remembered per worker since the last turnover, and as many from before it.
+#: Chunks, and pre-tokens, remembered in a task since the last turnover, and as many from before it.
 REMEMBER = 250_000
 #: White space of str.split that the pre-tokenizer takes for symbols.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -102,7 +103,7 @@ class Encoder:
             self.tok.model._resize_cache(0)  # pre-tokens are remembered here
         self.shown = byte_alphabet()
         self.tokenize = self.tok.model.tokenize
-        self.chunks, self.pieces = Remembered(self.chunk_ids), Remembered(self.piece_ids)
+        self.forget()
 
     def piece_ids(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isprintable()):
@@ -115,6 +116,9 @@ class Encoder:
         low = chunk.lower()
         return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in LATIN_SPLIT.findall(low)])
 
+    def forget(self) -> None:
+        self.chunks, self.pieces = Remembered(self.chunk_ids), Remembered(self.piece_ids)
+
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(x in text for x in (*NOT_SPACE, *self.special)):
             return packed(self.tok.encode(text, add_special_tokens=False).ids)
@@ -258,8 +262,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
                     yield out(rows, kind)
         if rows := list(packer.finish()):
             yield out(rows, kind)
+        enc.forget()
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, {SCHEMA}")
+    return map_arrow(d, run, f"doc_id {dict(d.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:

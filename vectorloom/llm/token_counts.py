@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 #: The byte-level pre-tokenizer's pattern, with white space written as its Unicode property.
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d"
     r"| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pre-tokens remembered per worker; the table is emptied when full, which changes no result.
+#: Pre-tokens remembered in a task; the table is emptied when full, which changes no result.
 REMEMBER = 400_000
 
 
@@ -118,6 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: st
         for b in batches:
             n = [c.count(t) if t else 0 for t in (x.as_py() for x in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        c.clear()
 
     d = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -125,4 +128,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: st
         F.col(text).alias("text"),
     )
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(d, count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,14 +1,15 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another; a later model sees the earlier categories'
-log-odds beside the text features. While it is trained it sees out-of-fold predictions (each row's
-from models that didn't see the row), so it learns how far to trust them on unseen documents.
+probabilities beside the text features. While it is trained it sees out-of-fold predictions (each
+row's from models that saw neither the row nor a copy of its text, as folds are dealt by a hash of
+the features), so it learns how far to trust them on unseen documents.
 
 Features are the lower-cased words and their 4 to 6 letter beginnings (stems carry over to unseen
 endings), hashed to 32 bits; a model keeps the FEATURES with the strongest association and weighs
 them by logistic regression. Training takes a bounded sample: ``SAMPLE`` labelled rows, half of
 them positive in the last category where there are as many, chosen by hash of doc_id; the
-intercept is corrected for that by the rates over all labels. Only the sample's hashed features
+probability is corrected for that by the rates over all labels, but passed on as it was trained. Only the sample's hashed features
 come to the driver. Scoring reads every whole document where it lies, without a shuffle.
 
 Defined cases: a null text has no feature and scores its category's base rate; documents with a
@@ -28,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 SAMPLE, FEATURES, FOLDS, ROUNDS = 8000, 1024, 3, 200
 L2 = 2e-4
 THRESHOLD = 0.5
@@ -48,16 +51,20 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 class Model:
-    """Feature weights by hash, of earlier categories' log-odds, and the intercept."""
+    """Feature weights by hash, of earlier categories' probabilities, and the intercept; ``shift`` corrects the final log-odds."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, earlier: np.ndarray, bias: float):
-        self.ids, self.weights, self.earlier, self.bias = ids, weights, earlier, bias
+        self.ids, self.weights, self.earlier, self.bias, self.shift = ids, weights, earlier, bias, 0.0
 
     def logit(self, rows: Sequence[np.ndarray], earlier: np.ndarray) -> np.ndarray:
         row, col = entries(self.ids, rows)
         return np.bincount(row, self.weights[col], len(rows)) + (earlier * self.earlier).sum(1) + self.bias
 
 
+def probability(logit):
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def entries(ids: np.ndarray, rows: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ones of the rows-by-``ids`` matrix."""
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
@@ -92,7 +99,7 @@ def fit(rows: Sequence[np.ndarray], y: np.ndarray, earlier: np.ndarray, most: in
     ids = chosen(rows, y, most)
     n, k = len(y), len(ids)
     row, col = entries(ids, rows)
-    # Columns of earlier log-odds are scaled like the others; sums over entries keep this off threaded algebra.
+    # Columns of earlier probabilities are scaled; sums over entries keep this off threaded algebra.
     scale = np.maximum(np.sqrt((earlier**2).mean(0)), 1e-3)
     dense = np.hstack([earlier / scale, np.ones((n, 1))])
     times = lambda v: np.bincount(row, v[:k][col], n) + (dense * v[k:]).sum(1)
@@ -107,18 +114,17 @@ def fit(rows: Sequence[np.ndarray], y: np.ndarray, earlier: np.ndarray, most: in
     w[-1] = base
     z, t = w.copy(), 1.0
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(times(z), -30, 30)))
-        g = back(p - y) / n + L2 * np.append(z[:-1], 0)
+        g = back(probability(times(z)) - y) / n + L2 * np.append(z[:-1], 0)
         new, t2 = z - step * g, (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return Model(ids, w[:k], w[k:-1] / scale, float(w[-1]))
 
 
 def fit_chain(rows: Sequence[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> list[Model]:
-    """One model per column of ``labels``; later ones are trained on out-of-fold log-odds of the earlier."""
+    """One model per column of ``labels``; later ones are trained on out-of-fold probabilities of the earlier."""
     n, k = labels.shape
     oof, chain = np.zeros((n, 0)), []
-    fold = np.arange(n) % folds
+    fold = np.array([zlib.crc32(r.tobytes()) for r in rows], np.int64) % folds
     for c in range(k):
         y = labels[:, c].astype(float)
         chain.append(fit(rows, y, oof))
@@ -127,8 +133,8 @@ def fit_chain(rows: Sequence[np.ndarray], labels: np.ndarray, folds: int = FOLDS
             for f in range(folds):
                 a, b = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 m = fit([rows[i] for i in a], y[a], oof[a])
-                out[b] = m.logit([rows[i] for i in b], oof[b])
-            oof = np.hstack([oof, np.clip(out, -8, 8)[:, None]])
+                out[b] = probability(m.logit([rows[i] for i in b], oof[b]))
+            oof = np.hstack([oof, out[:, None]])
     return chain
 
 
@@ -160,8 +166,8 @@ class Scorer:
         z = self.weights[:, sorted(on)].sum(1)
         logits: list[float] = []
         for c, m in enumerate(self.chain):
-            logits.append(float(z[c] + m.bias + np.dot(m.earlier, np.clip(logits, -8, 8)) if logits else z[c] + m.bias))
-        return [float(1 / (1 + np.exp(-min(max(x, -30), 30)))) for x in logits]
+            logits.append(float(z[c] + m.bias + (m.earlier * probability(np.array(logits))).sum()))
+        return [float(probability(x + m.shift)) for x, m in zip(logits, self.chain, strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> list[Model]:
@@ -182,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
                 yield pa.RecordBatch.from_arrays([p.column(0), f, *p.columns[2:]], ["doc_id", "f", *categories])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    got = d.select("doc_id", "text", *categories).mapInArrow(features, "doc_id long, f array<long>, " + ", ".join(f"{c} int" for c in categories)).toArrow().combine_chunks()
+    got = map_arrow(d.select("doc_id", "text", *categories), features, "doc_id long, f array<long>, " + ", ".join(f"{c} int" for c in categories)).toArrow().combine_chunks()
     order = np.lexsort([np.array([len(x) for x in got.column("f")], np.int64), got.column("doc_id").to_numpy()]) if got.num_rows else np.zeros(0, int)
     f = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     flat, off = (f.flatten().to_numpy(), f.offsets.to_numpy() - f.offsets[0].as_py()) if got.num_rows else (np.zeros(0, np.int64), np.zeros(1, int))
@@ -193,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
         if got.num_rows:
             all_rate = (float(rates[c] or 0) + 0.5) / (rates["n"] + 1)
             here = (float(y[:, list(categories).index(c)].sum()) + 0.5) / (len(y) + 1)
-            m.bias += float(np.log(all_rate / (1 - all_rate)) - np.log(here / (1 - here)))
+            m.shift = float(np.log(all_rate / (1 - all_rate)) - np.log(here / (1 - here)))
     return chain
 
 
@@ -209,7 +215,7 @@ def score(docs: DataFrame, chain: list[Model], categories: Sequence[str]) -> Dat
             p = [s.probabilities(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in p], pa.float64()) for i in range(len(categories))]], names)
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, " + ", ".join(f"{n} double" for n in names[1:]))
+    return map_arrow(d, run, f"doc_id {dict(d.dtypes)['doc_id']}, " + ", ".join(f"{n} double" for n in names[1:]))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
