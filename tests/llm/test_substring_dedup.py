@@ -74,3 +74,16 @@ def test_kept_text(spark):
     w = [f"w{i}" for i in range(60)]
     got = {r.doc_id: r.kept_text for r in sd.dedup(docs(spark, [(1, " ".join(w)), (2, "x " + " ".join(w) + " y")])).collect()}
     assert got == {1: " ".join(w), 2: "x y"}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(49))
+    assert [r.n_removed for r in sd.query(docs(spark, [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{same} {x}")])).orderBy("doc_id").collect()] == [0, 0, 50]
+
+
+def test_many_repeated_rows(spark):
+    w = " ".join(f"w{i}" for i in range(400))
+    got = sd.query(docs(spark, [(1, w)] + [(2, w)] * 300)).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 0, 1), (2, 400, 300)}

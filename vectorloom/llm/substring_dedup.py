@@ -7,7 +7,8 @@ each window exactly and yields its first document.
 
 What keeps this within the size of the input:
 
-* Super-k-mers are known by hashes of their minimiser and their words before any text moves. A
+* Super-k-mers are known by a hash of their minimiser and a 128-bit BLAKE2b digest of their words
+  before any text moves; what shares the hash meets in a bucket, what shares the digest is equal. A
   window can repeat in another document only if its minimiser does, so super-k-mers whose
   minimiser one document has alone never travel.
 * Equal super-k-mers combine map-side, and one of them travels for all: thousands of copies
@@ -16,7 +17,7 @@ What keeps this within the size of the input:
 * A bucket with more than ``HOT`` different strings (a passage in endlessly many contexts) is
   split: its strings are cut into single windows that are dealt by the window's own digest and
   combined map-side. Nothing is dropped.
-* Results return by equi-joins, which adaptive execution splits where a key is hot.
+* Results return by equi-joins of written tables, which adaptive execution splits where a key is hot.
 
 Defined cases: a null or empty text has no words and nothing removed; rows with a null
 ``doc_id`` neither cover others nor lose words (null is neither smaller nor larger); rows that
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import PRINT, U, WORD_BASE, Words, chunks, mix, powers, prefix, sliding_min
-from .shared import spool
+from .bytescan import PRINT, Words, chunks, sliding_min
+from .shared import map_arrow, spool
 
 WINDOW, MINIMISER = 50, 20
 #: Windows in one packed string at most; a run of one minimiser (one word repeated) is cut there.
@@ -43,10 +44,10 @@ LONGEST = 256
 HOT = 512
 
 
-def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimiser: int = MINIMISER) -> Iterator[pa.RecordBatch]:
+def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimiser: int = MINIMISER, longest: int = LONGEST) -> Iterator[pa.RecordBatch]:
     """(doc_id, th, text) to (doc_id, th, start, n, key, rh).
 
-    n windows from word ``start`` on share the minimiser ``key``; ``rh`` is a hash of all their words.
+    n windows from word ``start`` on share the minimiser ``key``; ``rh`` is a digest of all their words.
     """
     for batch in batches:
         ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -66,15 +67,12 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimis
             run = np.flatnonzero(new)
             size = np.diff(np.append(run, len(at)))
             # Cut long runs.
-            parts = -(-size // LONGEST)
+            parts = -(-size // longest)
             piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            head = np.repeat(run, parts) + piece * LONGEST
-            n = np.minimum(LONGEST, np.repeat(size, parts) - piece * LONGEST)
+            head = np.repeat(run, parts) + piece * longest
+            n = np.minimum(longest, np.repeat(size, parts) - piece * longest)
             first = at[head]
             doc = w.doc[first]
-            total = prefix(hashes, WORD_BASE)
-            words = n + window - 1
-            rh = mix((total[first + words] - total[first]) * powers(WORD_BASE, len(hashes) + 1)[1][first] + words.astype(U))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[lo + doc], pa.int64()),
@@ -82,7 +80,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimis
                     pa.array((first - w.first[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                     pa.array(key[head].view(np.int64)),
-                    pa.array(rh.view(np.int64)),
+                    pa.array(w.digests(first, n + window - 1), pa.binary()),
                 ],
                 ["doc_id", "th", "start", "n", "key", "rh"],
             )
@@ -91,7 +89,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, minimis
 def pack(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """(text, runs) to one row per run: its packed string, or for hot buckets one row per window by digest."""
     names = ["key", "rh", "packed", "lo", "hi", "wd", "off"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
     rows: list[tuple] = []
     held = 0
     for batch in batches:
@@ -101,7 +99,7 @@ def pack(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa
                 own = words[r["start"] : r["start"] + r["n"] + window - 1]
                 if r["hot"]:
                     for i in range(r["n"]):
-                        wd = hashlib.md5(b" ".join(own[i : i + window]), usedforsecurity=False).digest()
+                        wd = hashlib.blake2b(b" ".join(own[i : i + window]), digest_size=16).digest()
                         rows.append((r["key"], r["rh"], None, r["lo"], r["hi"], wd, i))
                     held += 60 * r["n"]
                 else:
@@ -128,10 +126,10 @@ def window_slices(packed: bytes, window: int) -> list[bytes]:
 FACT = ["key", "rh", "off", "len", "first_doc"]
 
 
-def bucket_facts(key: int, strings: list[tuple[int, bytes, int, int]], window: int) -> list[tuple]:
+def bucket_facts(key: int, strings: list[tuple[bytes, bytes, int, int]], window: int) -> list[tuple]:
     """Runs of windows that more than one document has, by string: (key, rh, off, len, first document).
 
-    ``strings``: hash of the words, packed, least and greatest doc_id that have it.
+    ``strings``: digest of the words, packed, least and greatest doc_id that have it.
     """
     spots = sorted((x, k, i) for k, (_, s, *_) in enumerate(strings) for i, x in enumerate(window_slices(s, window)))
     first: list[dict[int, int]] = [{} for _ in strings]
@@ -160,7 +158,7 @@ def bucket_facts(key: int, strings: list[tuple[int, bytes, int, int]], window: i
 
 def count_buckets(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, (key, rh, packed, lo, hi), to facts; holds one bucket at a time."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
     now: int | None = None
     strings: list[tuple] = []
     facts: list[tuple] = []
@@ -199,30 +197,32 @@ def remove(batches: Iterator[pa.RecordBatch], window: int = WINDOW, with_text: b
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text) and the spans of windows that an earlier document has."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = spool(d.mapInArrow(super_kmers, "doc_id long, th long, start int, n int, key long, rh long"), "runs")
-    shared = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
+    longest = LONGEST
+    runs = spool(map_arrow(d, lambda b: super_kmers(b, longest=longest), "doc_id long, th long, start int, n int, key long, rh binary"), "runs")
+    shared = spool(runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key"), "keys")
     runs = spool(runs.join(shared, "key", "left_semi"), "shared")
     # One super-k-mer stands for all that are equal; how many different ones a bucket has is known before they travel.
     equal = runs.groupBy("key", "rh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at"))
-    size = equal.groupBy("key").agg(F.count("*").alias("size"))
+    equal = spool(equal, "equal")
+    size = spool(equal.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     equal = spool(equal.join(size, "key").select("key", "rh", "lo", "hi", "at.*", "size"), "equal")
     alone = equal.filter("size = 1 AND lo < hi").select("key", "rh", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("lo").alias("first_doc"))
     run = F.struct("start", "n", "key", "rh", "lo", "hi", (F.col("size") > HOT).alias("hot"))
     todo = equal.filter("size > 1").groupBy("doc_id", "th").agg(F.collect_list(run).alias("runs"))
-    packed = d.join(todo, ["doc_id", "th"]).select("text", "runs").mapInArrow(pack, "key long, rh long, packed binary, lo long, hi long, wd binary, off int")
+    packed = map_arrow(d.join(todo, ["doc_id", "th"]).select("text", "runs"), pack, "key long, rh binary, packed binary, lo long, hi long, wd binary, off int")
     packed = spool(packed, "packed")
     cold = packed.filter("wd IS NULL").select("key", "rh", "packed", "lo", "hi").repartition("key").sortWithinPartitions("key")
-    cold = cold.mapInArrow(count_buckets, "key long, rh long, off int, len int, first_doc long")
+    cold = map_arrow(cold, count_buckets, "key long, rh binary, off int, len int, first_doc long")
     single = packed.filter("wd IS NOT NULL").select("wd", "key", "rh", "off", "lo", "hi")
     first = single.groupBy("wd").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).filter("first_doc < last_doc")
-    hot = single.join(first, "wd").select("key", "rh", "off", F.lit(1).alias("len"), "first_doc")
+    hot = single.join(spool(first, "first"), "wd").select("key", "rh", "off", F.lit(1).alias("len"), "first_doc")
     facts = spool(alone.unionByName(cold).unionByName(hot), "facts")
     return (
         runs.select("key", "rh", "doc_id", "th", "start")
         .join(facts, ["key", "rh"])
         .filter("first_doc < doc_id")
         .groupBy("doc_id", "th")
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("at"), "len")).alias("spans"))
+        .agg(F.collect_set(F.struct((F.col("start") + F.col("off")).alias("at"), "len")).alias("spans"))
     )
 
 
@@ -230,7 +230,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words themselves."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     joined = d.join(repeated_spans(docs), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(lambda b: remove(b, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return map_arrow(joined, lambda b: remove(b, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(docs: DataFrame) -> DataFrame:
