@@ -2,6 +2,8 @@
 
 1. ``sketch``: per document the minima of HASHES permutations over its distinct word shingles,
    kept as band keys and as a signature of the low BITS bits of each minimum, packed in longs.
+   A shingle is a 128-bit fingerprint of its words as they are (words of over 15 bytes by a
+   digest), in ``sketch`` as in every confirmation; permutations take its first half.
    Documents with equal shingle sets share a digest and fold into one class, represented by the
    smallest doc_id: thousands of copies are one row from here on.
 2. Classes that share a band key are candidates. Only the connected components are wanted, so a
@@ -35,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import PRINT, U, Words, chunks, mix
-from .shared import spool
+from .bytescan import PRINT, U, WORD_BASE, Words, chunks, mix
+from .shared import map_arrow, spool, without
 
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 4, 40
@@ -52,24 +54,44 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def shingle_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all documents with words, end to end, and the document of each."""
-    hashes = w.hashes()
+def shingle_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both longs of the shingle fingerprints of all documents with words, end to end and sorted, and the document of each."""
+    longs = w.longs()
     at = np.flatnonzero(w.left >= shingle)
-    full = w.windows(shingle, hashes)[at] if len(at) else np.zeros(0, U)
-    out, doc = [full], [w.doc[at]]
+    a, b = w.fingerprints(shingle, longs)
+    first, second, doc = [a[at]], [b[at]], [w.doc[at]]
     count = w.last - w.first
     for n in range(1, shingle):  # a shorter text is one shingle
         few = np.flatnonzero(count == n)
         if len(few):
-            out.append(w.windows(n, hashes)[w.first[few]])
+            a, b = w.fingerprints(n, longs)
+            first.append(a[w.first[few]])
+            second.append(b[w.first[few]])
             doc.append(few)
-    h, d = np.concatenate(out), np.concatenate(doc)
+    h, h2, d = np.concatenate(first), np.concatenate(second), np.concatenate(doc)
     order = np.lexsort((h, d))
-    h, d = h[order], d[order]
+    if len(h) and ((h[order][1:] == h[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+        order = np.lexsort((h2, h, d))
+    h, h2, d = h[order], h2[order], d[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], d[new]
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (d[1:] != d[:-1])
+    return h[new], h2[new], d[new]
+
+
+def halves(hs: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """The two longs of a set's fingerprints."""
+    a = np.frombuffer(hs, U)
+    return a[: len(a) // 2], a[len(a) // 2 :]
+
+
+def common(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> int:
+    """Fingerprints that two sets share."""
+    if not len(p[0]) or not len(q[0]):
+        return 0
+    if (q[0][1:] == q[0][:-1]).any():  # two of them differ in the second long only
+        return len(set(zip(*map(np.ndarray.tolist, p), strict=True)) & set(zip(*map(np.ndarray.tolist, q), strict=True)))
+    at = np.minimum(np.searchsorted(q[0], p[0]), len(q[0]) - 1)
+    return int(np.count_nonzero((q[0][at] == p[0]) & (q[1][at] == p[1])))
 
 
 SKETCH = "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sig array<long>"
@@ -82,41 +104,39 @@ def sketch(batches: Iterator[pa.RecordBatch], shingle: int, rows: int, bands: in
     per = 64 // BITS
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column(2)):
-            h, d = shingle_sets(Words(data, offsets, PRINT, lower=True), shingle)
+            h, h2, d = shingle_sets(Words(data, offsets, PRINT, lower=True), shingle)
             n = np.bincount(d, minlength=hi - lo).astype(np.int64)
             some = np.flatnonzero(n)
             first = np.cumsum(n) - n
-            minima = np.empty((len(some), rows * bands), U)
-            for k in range(rows * bands if len(some) else 0):
-                minima[:, k] = np.minimum.reduceat(h * a[k], first[some])
             keys = np.repeat(place[None, :], len(some), 0)
-            for r in range(rows):
-                keys = mix(keys * U(0xD6E8FEB86659FD93) + minima[:, r::rows])
-            # The low bits of a product depend on the low bits of its factors only, so they are mixed first.
-            low = mix(minima) & U((1 << BITS) - 1)
-            low = np.pad(low, ((0, 0), (0, -low.shape[1] % per)))
-            sig = np.zeros((len(some), low.shape[1] // per), U)
-            for j in range(per):
-                sig |= low[:, j::per] << U(BITS * j)
-            by = {int(x): i for i, x in enumerate(some)}
-            pick = lambda m, by=by: pa.array([m[by[i]].view(np.int64) if i in by else None for i in range(hi - lo)], pa.list_(pa.int64()))  # noqa: E731, B023
-            digest = [hashlib.md5(h[first[i] : first[i] + n[i]].tobytes(), usedforsecurity=False).digest() if n[i] else None for i in range(hi - lo)]
+            sig = np.zeros((len(some), -(-rows * bands // per)), U)
+            for k in range(rows * bands if len(some) else 0):
+                least = np.minimum.reduceat(h * a[k], first[some])
+                keys[:, k // rows] = mix(keys[:, k // rows] * U(WORD_BASE) + least)
+                # The low bits of a product depend on the low bits of its factors only, so they are mixed first.
+                sig[:, k // per] |= (mix(least) & U((1 << BITS) - 1)) << U(BITS * (k % per))
+            digest = [hashlib.blake2b(h[i:j].tobytes() + h2[i:j].tobytes(), digest_size=16).digest() if i < j else None for i, j in zip(first.tolist(), (first + n).tolist(), strict=True)]
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n), pa.array(digest, pa.binary()), pick(keys), pick(sig)],
+                [part.column(0), part.column(1), pa.array(n), pa.array(digest, pa.binary()), _lists(keys, n > 0), _lists(sig, n > 0)],
                 ["doc_id", "th", "n_shingles", "digest", "bands", "sig"],
             )
 
 
+def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The rows as lists of longs, in the places that ``some`` marks; nulls elsewhere."""
+    offsets = pa.array(np.append(0, np.cumsum(some) * rows.shape[1]).astype(np.int32), mask=np.append(~some, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1).view(np.int64)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, sorted shingle hashes as bytes)."""
+    """(id, text) to (id, shingle fingerprints as bytes: all first longs, ascending, then all second ones)."""
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column(1)):
-            h, d = shingle_sets(Words(data, offsets, PRINT, lower=True), shingle)
-            cut = np.searchsorted(d, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "hs"]
-            )
+            h, h2, d = shingle_sets(Words(data, offsets, PRINT, lower=True), shingle)
+            cut = np.searchsorted(d, np.arange(hi - lo + 1)).tolist()
+            hs = [h[a:b].tobytes() + h2[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(hs, pa.binary())], ["id", "hs"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -124,9 +144,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            p, q = halves(x.as_buffer()), halves(y.as_buffer())
+            both = common(p, q)
+            ok.append(100 * both >= percent * (len(p[0]) + len(q[0]) - both))
         m = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], ["a", "b"])
 
@@ -176,8 +196,8 @@ def _across(batches: Iterator[pa.RecordBatch], hashes: int, percent: int, exact:
         sa, sb = sa.view(U), sb.view(U)
         if exact:
             keys = np.array([r[6] for r in right], np.int64)
-            sets = [np.frombuffer(r[7], U) for r in right]
-            own = sets if itself else [np.frombuffer(r[7], U) for r in left]
+            sets = [halves(r[7]) for r in right]
+            own = sets if itself else [halves(r[7]) for r in left]
         out, joined = [], set()
         for k in range(len(ia)):
             ok = np.flatnonzero((cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k])))
@@ -187,11 +207,8 @@ def _across(batches: Iterator[pa.RecordBatch], hashes: int, percent: int, exact:
             if exact and len(ok):  # in the first bucket that the two share
                 ok = ok[(keys[ok] == np.array(left[k][6], np.int64)).argmax(1) == left[k][5]]
             if exact and len(ok):
-                size = nb[ok]
-                flat = np.concatenate([sets[j] for j in ok])
-                at = np.minimum(np.searchsorted(own[k], flat), len(own[k]) - 1)
-                both = np.add.reduceat((own[k][at] == flat).astype(np.int64), np.cumsum(size) - size)
-                ok = ok[100 * both >= percent * (size + na[k] - both)]
+                both = np.array([common(sets[j], own[k]) for j in ok.tolist()], np.int64)
+                ok = ok[100 * both >= percent * (nb[ok] + na[k] - both)]
             for j in ok:
                 two = (min(ca[k], cb[j]), max(ca[k], cb[j]))
                 if not exact or two not in joined:
@@ -237,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id, kept, and n_links: confirmed links of its class, as far as they were needed."""
     n_hashes = rows * bands
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
-    s = spool(d.mapInArrow(lambda b: sketch(b, shingle, rows, bands), SKETCH), "sketches")
+    s = spool(map_arrow(d, lambda b: sketch(b, shingle, rows, bands), SKETCH), "sketches")
     own = s.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = own.groupBy("digest").agg(
         F.min(F.struct("doc_id", "th")).alias("m"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
@@ -247,11 +264,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sig = classes.select("id", "n", "sig")
     member = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     centre = member.groupBy("key").agg(F.min("id").alias("c1"), F.max("id").alias("c2"), F.min_by("id", F.xxhash64("id")).alias("c3"), F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
-    bucket = spool(member.join(centre, "key"), "buckets")
+    # What is aggregated by a key is written before it meets the rows of that key, so that a hot key's rows can be split.
+    bucket = spool(member.join(spool(centre, "centres"), "key"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = classes.join(ids, "id").select("id", F.col("doc").alias("doc_id"), "th").join(d, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", "text")
-        return spool(texts.mapInArrow(lambda x: _sets(x, shingle), "id long, hs binary"), "sets")
+        return spool(map_arrow(texts, lambda x: _sets(x, shingle), "id long, hs binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sig.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -260,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         near = spool(near.filter(F.expr(f"{_agreement(n_hashes)} >= {least_estimate(percent, n_hashes)}D")).select("a", "b"), "near")
         sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = near.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("hs_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hs_b")), "b")
-        return spool(both.select("a", "b", "hs_a", "hs_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long"), "links")
+        return spool(map_arrow(both.select("a", "b", "hs_a", "hs_b"), lambda x: _confirm(x, percent), "a long, b long"), "links")
 
     star = bucket.select("id", F.explode(F.array("c1", "c2", "c3")).alias("c")).filter("id <> c")
     star = star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
@@ -270,9 +288,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # Buckets that still hold several components.
     known = bucket.select("key", "band", "id", "n", "m", "total").join(label, F.col("id") == F.col("v"), "left").withColumn("comp", F.coalesce("label", "id")).drop("v", "label")
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rest = spool(known.join(mixed, "key", "left_semi").filter("m > 2"), "rest")
+    rest = spool(known.join(spool(mixed, "mixed"), "key", "left_semi").filter("m > 2"), "rest")
     few = rest.filter(F.col("m") <= SMALL).join(sig.select("id", "sig"), "id").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "id", "comp", "n", "sig")
-    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _across(x, n_hashes, percent, False), "a long, b long").distinct()
+    pairs = map_arrow(few.repartition("key").sortWithinPartitions("key"), lambda x: _across(x, n_hashes, percent, False), "a long, b long").distinct()
     many = rest.filter(F.col("m") > SMALL)
     sets = sets_of(many.select("id").distinct())
     nb = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(8 * F.col("total") / SIDE_BYTES)).cast("int")
@@ -282,18 +300,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         "id", "comp", "n", "sig", "band", "bands", "hs",
     )
-    across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x: _across(x, n_hashes, percent, True), "a long, b long")
+    across = map_arrow(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), lambda x: _across(x, n_hashes, percent, True), "a long, b long")
     links = links.unionByName(confirmed(pairs)).unionByName(spool(across, "links")).distinct()
     # Rows with one doc_id are one document, whatever their sets.
     same = own.join(classes.select("digest", "id"), "digest").select("doc_id", "id").distinct()
     least = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1")
     links = links.select("a", "b").unionByName(same.join(least, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")))
     label = components(links)
-    classed = classes.join(label, F.col("id") == F.col("v"), "left").select("digest", "doc", F.coalesce("label", "id").alias("comp"))
-    lowest = classed.groupBy("comp").agg(F.min("doc").alias("component"))
-    classed = classed.join(lowest, "comp").select("digest", "component")
-    out = s.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classed, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Most classes are components of their own; only linked ones look for the smallest doc_id.
+    linked = spool(classes.join(label, F.col("id") == F.col("v")).select("digest", "doc", "label"), "linked")
+    lowest = spool(linked.groupBy("label").agg(F.min("doc").alias("component")), "lowest")
+    alone = classes.join(label, F.col("id") == F.col("v"), "left_anti").select("digest", F.col("doc").alias("component"))
+    classed = linked.join(lowest, "label").select("digest", "component").unionByName(alone)
+    out = own.select("doc_id", "n_shingles", "digest").join(classed, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = out.unionByName(s.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -306,8 +326,8 @@ def keep(docs: DataFrame, **params) -> DataFrame:
 
     Rows that share a ``doc_id`` stay or go together; rows without one stay.
     """
-    gone = near_duplicates(docs, **params).filter("NOT kept").select(F.col("doc_id").alias("_gone_doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_doc_id"), "left_anti")
+    gone = near_duplicates(docs, **params).filter("NOT kept").select("doc_id").distinct()
+    return without(docs, gone, doc_id=F.col("doc_id").cast("long"))
 
 
 SQL = r"""
