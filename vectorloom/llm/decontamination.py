@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM, U, Words, chunks
-from .shared import spool
+from .shared import map_arrow, spool, without
 
 WINDOW, SHINGLE = 13, 5
 #: Bytes of benchmark text held by the driver and each task at once; a longer item is a block alone.
@@ -174,17 +174,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        spans = [merged([(s["lo"], s["hi"]) for s in x or ()]) for x in b.column(2).to_pylist()]
-        items = [sorted(set(x or ())) for x in b.column(3).to_pylist()]
+        spans = [merged([(s["lo"], s["hi"]) for s in x or ()]) for x in b.column(3).to_pylist()]
+        items = [sorted(set(x or ())) for x in b.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                b.column(0),
-                b.column(1),
+                *b.columns[:3],
                 pa.array([sum(hi - lo for lo, hi in s) for s in spans], pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
             ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
+            ["doc_id", "th", "n_words", "n_hit", "n_items", "items_sha256"],
         )
 
 
@@ -199,18 +198,18 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
 
 
 def hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, merged hit spans (word numbers) and items, one row per document."""
+    """doc_id, th (hash of the text), n_words, merged hit spans (word numbers) and items, one row per document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     base: DataFrame | None = None
     more: DataFrame | None = None
     for ids, texts in blocks(items, block_bytes):
         block = Block(ids, texts)
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = d.select("text").mapInArrow(lambda b, s=shared: frequencies(b, s.value), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
+        found = map_arrow(d.select("text"), lambda b, s=shared: frequencies(b, s.value), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
         df = {k: np.zeros(len(v), np.int64) for k, v in block.vocabulary.items()}
         for r in found.collect():  # as many rows as the block has shingles at most
             df[r.k][r.place] = r.n
-        got = d.mapInArrow(lambda b, s=shared, f=df, o=base is not None: matches(b, s.value, f, o), SPANS)
+        got = map_arrow(d, lambda b, s=shared, f=df, o=base is not None: matches(b, s.value, f, o), SPANS)
         if base is None:
             base = got
         else:
@@ -218,25 +217,31 @@ def hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFra
             more = got if more is None else more.unionByName(got)
             shared.unpersist()
     if more is None:
-        return base.drop("th")
+        return base
     extra = more.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"))
     b = base.alias("b").join(extra.alias("e"), F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("b.th").eqNullSafe(F.col("e.th")), "left")
     both = lambda x, y: F.concat(F.col(x), F.coalesce(F.col(y), F.expr(f"slice({x}, 1, 0)")))
-    return b.select("b.doc_id", "n_words", both("spans", "s2").alias("spans"), both("items", "i2").alias("items"))
+    return b.select("b.doc_id", "b.th", "n_words", both("spans", "s2").alias("spans"), both("items", "i2").alias("items"))
 
 
-def query(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    out = hits(docs, items, block_bytes).select("doc_id", "n_words", "spans", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+def judged(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+    """doc_id, th and the verdict with its counts, one row per document."""
+    found = hits(docs, items, block_bytes).select("doc_id", "th", "n_words", "spans", "items")
+    out = map_arrow(found, _digest, "doc_id long, th long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
+def query(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+    return judged(docs, items, block_bytes).drop("th")
+
+
 def keep(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """The documents that aren't contaminated, with their own columns; for use as a pipeline stage.
 
-    Rows that share a ``doc_id`` go together; rows without one stay.
+    Each row goes or stays by its own text, also where it shares its ``doc_id`` or has none.
     """
-    bad = query(docs, items, block_bytes).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad_doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad_doc_id"), "left_anti")
+    bad = judged(docs, items, block_bytes).filter("contaminated").select("doc_id", "th").distinct()
+    return without(docs, bad, doc_id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
 
 
 SQL = r"""
