@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import once
+from .shared import once, whole_row
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Bits of a word's position below the bits of its window's hash; longer texts are sorted by words.
+PLACE = 27
 
 #: Bit of each rule. The order is part of stored ledgers: append, never renumber.
 RULES = (
@@ -52,20 +54,43 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id and the measurements, each an exact count over the whole text."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = once(d, "doc_id", "t", w=split_words(F.col("t")))
-    # Three-word windows sorted with their positions: equal windows become neighbours.
+    # A three-word window is one long: the high bits of its hash over its position. Sorted, equal windows are
+    # neighbours; where neighbours of one hash differ in words, the windows are sorted by their words instead.
+    equal = "(w[{a}] = w[{b}] AND w[{a} + 1] = w[{b} + 1] AND w[{a} + 2] = w[{b} + 2])"
+    at = lambda i: f"cast(s[{i}] & {(1 << PLACE) - 1}L AS int)"
+    by_hash = f"size(w) BETWEEN 4 AND {1 << PLACE}"
     d = once(
         d,
         "doc_id",
+        "w",
         n_words=F.size("w").cast("long"),
         word_chars=F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)),
         n_symbols=(F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
         n_upper=F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long"),
         lines=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         s=F.expr(
-            "CASE WHEN size(w) >= 4 THEN sort_array(transform(sequence(0, size(w) - 3),"
-            " i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g, i AS p))) END"
+            f"CASE WHEN {by_hash} THEN sort_array(transform(sequence(0, size(w) - 3),"
+            f" i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {PLACE}) | i)) END"
         ),
     )
+    near = f"filter(sequence(1, size(s) - 1), i -> shiftright(s[i], {PLACE}) = shiftright(s[i - 1], {PLACE}))"
+    d = once(d, "doc_id", "w", "n_words", "word_chars", "n_symbols", "n_upper", "lines", "s", near=F.when(F.col("s").isNotNull(), F.expr(near)))
+    differ = F.expr(f"exists(near, i -> NOT {equal.format(a=at('i'), b=at('i - 1'))})")
+    words = (
+        "sort_array(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g, i AS p)))"
+    )
+    d = once(
+        d,
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "lines",
+        first=F.when(F.size("w") < 4, None)
+        .when(F.col("s").isNotNull() & ~differ, F.expr(f"sort_array(array_distinct(flatten(transform(near, i -> array({at('i - 1')}, {at('i')})))))"))
+        .otherwise(
+            F.expr(
+                f"sort_array(array_distinct(flatten(transform(array({words}), g -> flatten(transform("
+                "filter(sequence(1, size(g) - 1), i -> g[i].g = g[i - 1].g), i -> array(g[i - 1].p, g[i].p)))))))"
+            )
+        ),
+    )
     return once(
         d,
         "doc_id",
@@ -75,10 +100,10 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         "n_upper",
         n_lines=F.size("lines").cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        # Three words from each repeated window on, less what the next one covers.
         n_repeat_words=F.expr(
-            "CASE WHEN s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform("
-            "filter(sequence(1, size(s) - 1), i -> s[i].g = s[i - 1].g),"
-            " i -> array(s[i - 1].p, s[i - 1].p + 1, s[i - 1].p + 2, s[i].p, s[i].p + 1, s[i].p + 2))))) END"
+            "CASE WHEN first IS NULL OR size(first) = 0 THEN 0"
+            " ELSE aggregate(sequence(1, size(first) - 1), 3, (a, i) -> a + CASE WHEN i < size(first) AND i > 0 THEN least(3, first[i] - first[i - 1]) ELSE 0 END) END"
         ).cast("long"),
     )
 
@@ -136,7 +161,7 @@ def ablations(led: DataFrame, policy: str) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "web-1") -> DataFrame:
     """The documents a policy keeps, with their own columns; for use as a pipeline stage."""
-    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = docs.select(whole_row(docs).alias("row"))
     # The ledger's doc_id carries the whole row, so no join brings the columns back.
     led = ledger(row.select("row", F.col("row.text").alias("text")), doc_id="row")
     return apply_policy(led, policy).filter("kept").select("doc_id.*")
