@@ -1,9 +1,12 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+from vectorloom.llm import secret_scan
+
 from .helpers import WS
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,3 +88,47 @@ def components(pairs, k, percent):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def tail(z):
+    return 1 / (1 + math.exp(min(700, 0.07056 * z**3 + 1.5976 * z)))
+
+
+def tested(v):
+    """p of the battery and p of structured text, for the token without its padding; None where no alphabet holds it."""
+    own = [(d, lam) for p, d, lam in secret_scan.ALPHABETS if re.search(p, v)]
+    if not own or len(v) < 20:
+        return None
+    (d, lam), n = own[0], len(v)
+    k = len(d)
+    y = [d.index(c) for c in v]
+    chi = sum((v.count(c) - n / k) ** 2 / (n / k) for c in d)
+    mean = sum(y) / n
+    half = [x >= k / 2 for x in y]
+    hi, runs = sum(half), 1 + sum(a != b for a, b in zip(half, half[1:], strict=False))
+    runs_mean = 1 + 2 * hi * (n - hi) / n
+    runs_var = 2 * hi * (n - hi) * (2 * hi * (n - hi) - n) / (n * n * (n - 1))
+    cov = sum((a - mean) * (b - mean) for a, b in zip(y, y[1:], strict=False))
+    ss = sum((a - mean) ** 2 for a in y)
+    p = 0.0
+    if runs_var > 0 and ss > 0:
+        chi_z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+        p = min(1, 3 * min(tail(chi_z), 2 * tail(abs((runs - runs_mean) / math.sqrt(runs_var))), 2 * tail(abs((cov / ss + 1 / n) * math.sqrt(n)))))
+    return p, tail((k - 1 + n * lam - chi) / math.sqrt(2 * (k - 1) + 4 * n * lam))
+
+
+def all_spans(t):
+    """Base spans and those that the randomness battery finds, as the query lists them."""
+    base, found = base_spans(t), []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+        if re.search("[+/]", m[0]) and re.search("[_-]", m[0]):
+            found += dict.fromkeys((m.start() + x.start(), m.start() + x.end()) for p in (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}") for x in re.finditer(p, m[0]))
+        else:
+            found.append(m.span())
+    found = [(s, e) for s, e in found if not any(b < e and s < z for b, _, z in base)]
+    rows = [(s, e, len(t[s:e].rstrip("=")), *p) for s, e in found if (p := tested(t[s:e].rstrip("=")))]
+    total = sum(r[2] for r in rows)
+    rank = sorted((even * total / len(rows) / n, s, e, p) for s, e, n, p, even in rows)
+    passed = max([i for i, x in enumerate(rank, 1) if x[0] <= i * 0.01 / len(rank)], default=0)
+    spans = sorted([*base, *[(s, 3, e) for _, s, e, p in rank[:passed] if p >= 0.001]])
+    return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans)

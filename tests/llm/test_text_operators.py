@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -215,3 +216,95 @@ def test_random_values_joined_to_names(spark):
     got = {x.doc_id: x.text for x in secret_scan.redact(docs(spark, [(n, a + z) for n, a, _, z in texts])).collect()}
     for k in range(4):
         assert sum(v not in got[n] for n, _, v, _ in texts if n % 4 == k) >= 9
+
+
+def tokens(r, n):
+    """Tokens of all kinds, random, structured and in between, alone and in mixed texts."""
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "abz+/_-019"]
+    for _ in range(n):
+        a = r.choice(alphabets)
+        size = r.choice([19, 20, 21, 24, 30, 31, 40, 64, 200])
+        t = "".join(r.choices(a, weights=[1 + r.choice([0, 0, 0.3, 4]) * (i % 5 == 0) for i in range(len(a))], k=size))
+        yield t + "=" * r.choice([0, 0, 1, 2, 3])
+
+
+def test_battery_against_brute_force(spark):
+    r = random.Random(21)
+    glue = [" ", "\n", "=", " token=", "é", "/", "_", "", " AKIA0123456789ABCD "]
+    pairs = [(i, "".join(x + r.choice(glue) for x in tokens(r, r.choice([1, 1, 2, 5, 20])))) for i in range(400)]
+    pairs += [(1000, None), (1001, ""), (1002, " ".join(tokens(r, 3000))), (1003, "".join(tokens(r, 1000)))]
+    got = {x.doc_id: x.spans for x in secret_scan.query(docs(spark, pairs)).collect()}
+    assert got == {i: brute.all_spans(t) for i, t in pairs}
+    assert sum("random" in x for x in got.values()) > 100
+
+
+def test_redaction_against_brute_force(spark, monkeypatch):
+    """Blocks of seven code points, so most spans cross some."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 7)
+    r = random.Random(22)
+    pairs = [(i, "é" * r.randint(0, 9) + "".join(x + r.choice([" ", " token: ", "日本 "]) for x in tokens(r, r.choice([1, 3, 8])))) for i in range(150)]
+    got = {x.doc_id: (x.text, x.n_chars) for x in secret_scan.redact(docs(spark, pairs)).collect()}
+    for i, t in pairs:
+        out, at = "", 0
+        for s, e in [tuple(map(int, x.split(":")[1:])) for x in brute.all_spans(t).split(",") if x]:
+            if s >= at:
+                out += t[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert got[i] == (out + t[at:], len(out + t[at:]))
+
+
+def test_very_long_texts_of_secrets(spark):
+    r = random.Random(23)
+    a = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    one = "".join(r.choices(a, k=600_000))
+    many = " ".join("token=" + "".join(r.choices(a, k=24)) for _ in range(20_000))
+    began = time.time()
+    got = {x.doc_id: x for x in secret_scan.query(docs(spark, [(1, one), (2, many)])).collect()}
+    assert got[1].spans == "random:0:600000" and got[2].n_assign == 20_000
+    assert time.time() - began < 30
+
+
+ODD_NAMES = ("a.b", "_doc", "row", "_gone_doc_id", "_bad_doc_id", "th", "doc", "t", "text.x", "blocks", "spans", "w`x")
+
+
+def test_stage_helpers_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    d = docs(spark, [(1, "word " * 60 + "token=abcdefgh1"), (2, " ".join(f"w{i}" for i in range(80))), (3, None), (None, " ".join(f"w{i}" for i in range(80)))])
+    d = d.select("*", *[F.lit(i).alias(c) for i, c in enumerate(ODD_NAMES)])
+    b = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    want = {"quality": (quality_rules.keep(d, "base-1"), [None, 2]), "near": (near_dedup.keep(d), [None, 1, 2, 3]), "items": (decontamination.keep(d, b), [1, 3]), "secrets": (secret_scan.redact(d), [None, 1, 2, 3])}
+    for out, ids in want.values():
+        assert out.columns == d.columns and [t for _, t in out.dtypes] == [t for _, t in d.dtypes]
+        got = out.collect()
+        assert sorted((r[0] for r in got), key=lambda x: x or 0) == ids
+        assert all(tuple(r[5:]) == tuple(range(len(ODD_NAMES))) for r in got)
+
+
+def test_rows_are_decontaminated_by_their_own_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.keep(docs(spark, [(None, item), (None, "clean"), (5, item), (5, "clean too"), (6, None)]), b)
+    assert sorted((r.text or "") for r in got.collect()) == ["", "clean", "clean too"]
+
+
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(4096)
+    got = {r.doc_id: r.component_id for r in near_dedup.query(docs(spark, [(1, f"{x} q r"), (2, f"{y} q r"), (3, f"{x} q r")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    few = [w for n in (8, 15, 16, 17, 32) for w in thue_morse(n)]
+    long = [(i, " ".join([w] * 3)) for i, w in enumerate(few)]
+    assert all(r.kept for r in near_dedup.query(docs(spark, long)).collect())
+
+
+def test_equal_hashes_are_sorted_by_words(spark, monkeypatch):
+    """With hardly any bits of hash left, all windows meet and are told apart by their words."""
+    monkeypatch.setattr(quality_rules, "PLACE", 62)
+    pairs = odd()
+    assert rows(quality_rules.query(docs(spark, pairs)).drop("kept", "fail_bits")) == brute.quality(pairs)

@@ -17,7 +17,9 @@ Discoveries are controlled per document by the Benjamini-Hochberg rule at ``FDR`
 in proportion to token length. Random spans that overlap a base span are left out.
 
 All of it is DataFrame expressions over single rows: no shuffle and no Python. Documents
-without a match, nearly all, stop at one scan per pattern.
+without a match, nearly all, stop at one scan per pattern. No step is quadratic: offsets are
+running sums in rounds of doubled reach, overlaps are found by binary search, and the tests go
+over a token's characters once.
 
 Defined cases: a null text is empty (no spans, digest of the empty string); a null ``doc_id`` is
 carried; repeated rows are scanned one by one; offsets are code points over the whole text;
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import once
+from .shared import once, whole_row
 
 #: The base patterns, in the order of kinds. Java matches (?i) on ASCII letters only.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,12 +39,14 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: A token with characters of both alphabets is taken apart into the runs of either.
-MIXED, PARTS = r"[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
+MIXED, PARTS = ("[+/]", "[_-]"), (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 #: The value of an assignment has this many characters at least.
 VALUE = 8
 
 REJECT, FDR = 0.001, 0.01
+#: Code points of a block from which ``redact`` cuts.
+BLOCK = 4096
 #: Alphabets from narrow to wide: pattern, digits in order, and the excess of chi-squared per
 #: character that structured text shows over them (alphabet size times its index of coincidence, less 1).
 ALPHABETS = (
@@ -64,21 +68,35 @@ def _q(s: str) -> str:
     return "r'" + s.replace("'", "\\x27") + "'"
 
 
-def _find(pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
-    """SQL: spans of the matches in column ``t``, leftmost and non-overlapping.
+def _running(x: str, f: str = "v + w") -> str:
+    """SQL: the running ``f`` (of v, the value so far, and w, an earlier one) along array ``x``, in rounds of doubled reach."""
+    v = f"({f})".replace("w", "z[i - shiftleft(1, k)]")
+    return f"aggregate(sequence(0, cast(ceil(log2(size({x}) + 1)) AS int)), {x}, (z, k) -> transform(z, (v, i) -> CASE WHEN i >= shiftleft(1, k) THEN {v} ELSE v END))"
+
+
+def _find(t: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    """SQL: spans of the matches in ``t``, leftmost and non-overlapping.
 
     Splitting at the pattern gives the gaps between matches, so running sums of the lengths of
     gaps and matches are the offsets.
     """
     p = _q(pattern)
+    steps = "transform(f.m, (x, i) -> length(f.gaps[i]) + CASE WHEN i > 0 THEN length(f.m[i - 1]) ELSE 0 END)"
+    spans = f"transform(h.m, (x, i) -> struct(h.at[i] AS s, h.at[i] + length(x) AS e, {kind} AS k, x AS m))"
+    if group:
+        spans = f"filter({spans}, (x, i) -> length(h.g[i]) >= {least})"
     found = (
-        f"aggregate(sequence(0, size(regexp_extract_all(t, {p}, 0)) - 1),"
-        f" struct(0 AS pos, split(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS g, cast(array() AS {SPAN}) AS out),"
-        " (a, i) -> struct(a.pos + length(a.gaps[i]) + length(a.m[i]) AS pos, a.gaps AS gaps, a.m AS m, a.g AS g,"
-        f" CASE WHEN length(a.g[i]) >= {least} THEN concat(a.out, array(struct(a.pos + length(a.gaps[i]) AS s, a.pos + length(a.gaps[i]) + length(a.m[i]) AS e, {kind} AS k, a.m[i] AS m))) ELSE a.out END AS out),"
-        " a -> a.out)"
+        f"transform(transform(transform(array(struct(split({t}, {p}) AS gaps, regexp_extract_all({t}, {p}, 0) AS m, regexp_extract_all({t}, {p}, {group}) AS g)),"
+        f" f -> struct(f.m AS m, f.g AS g, {steps} AS steps)),"
+        f" f -> struct(f.m AS m, f.g AS g, {_running('f.steps')} AS at)),"
+        f" h -> {spans})[0]"
     )
-    return f"CASE WHEN t RLIKE {p} THEN {found} ELSE cast(array() AS {SPAN}) END"
+    return f"CASE WHEN {t} RLIKE {p} THEN {found} ELSE cast(array() AS {SPAN}) END"
+
+
+def _below(a: str, x: str) -> str:
+    """SQL: how many numbers of the sorted array ``a`` are under ``x``, by binary search."""
+    return f"aggregate(sequence(30, 0), 0, (z, k) -> CASE WHEN z + shiftleft(1L, k) <= size({a}) AND {a}[z + shiftleft(1, k) - 1] < {x} THEN z + shiftleft(1, k) ELSE z END)"
 
 
 def _normal_tail(z: str) -> str:
@@ -87,31 +105,33 @@ def _normal_tail(z: str) -> str:
 
 
 def _tests(c: str) -> str:
-    """SQL: array column ``c`` of spans to spans with n, size of the alphabet, and both p-values."""
+    """SQL: array column ``c`` of spans to spans with n and both p-values; each step is linear in a token's length."""
     stripped = "regexp_replace(x.m, '=+$', '')"
-    digits = "CASE " + " ".join(f"WHEN {stripped} RLIKE {_q(p)} THEN '{d}'" for p, d, _ in ALPHABETS) + " END"
-    excess = "CASE " + " ".join(f"WHEN {stripped} RLIKE {_q(p)} THEN {e}D" for p, _, e in ALPHABETS) + " END"
-    a = f"transform({c}, x -> struct(x.s AS s, x.e AS e, {stripped} AS v, {digits} AS d, {excess} AS lam))"
+    digits = "CASE " + " ".join(f"WHEN x.v RLIKE {_q(p)} THEN '{d}'" for p, d, _ in ALPHABETS) + " END"
+    excess = "CASE " + " ".join(f"WHEN x.v RLIKE {_q(p)} THEN {e}D" for p, _, e in ALPHABETS) + " END"
+    a = f"transform({c}, x -> struct(x.s AS s, x.e AS e, {stripped} AS v))"
+    a = f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.v AS v, {digits} AS d, {excess} AS lam))"
     a = f"filter({a}, x -> x.d IS NOT NULL AND length(x.v) >= 20)"
-    # Digit values of the characters; counts per digit by length differences.
+    # Counts per digit by length differences; the lower half of the digits as L, the upper as H.
     a = (
-        f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.lam AS lam, cast(length(x.v) AS double) AS n, cast(length(x.d) AS double) AS k,"
-        " transform(sequence(1, length(x.v)), i -> cast(instr(x.d, substring(x.v, i, 1)) - 1 AS double)) AS y,"
-        " transform(sequence(1, length(x.d)), j -> cast(length(x.v) - length(replace(x.v, substring(x.d, j, 1), '')) AS double)) AS o))"
+        f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.v AS v, x.d AS d, x.lam AS lam, cast(length(x.v) AS double) AS n, cast(length(x.d) AS double) AS k,"
+        " translate(x.v, x.d, concat(repeat('L', length(x.d) div 2), repeat('H', length(x.d) - length(x.d) div 2))) AS half,"
+        " transform(split(x.d, ''), y -> cast(length(x.v) - length(replace(x.v, y, '')) AS double)) AS o))"
     )
     a = (
-        f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.lam AS lam, x.n AS n, x.k AS k, x.y AS y,"
+        f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.v AS v, x.d AS d, x.lam AS lam, x.n AS n, x.k AS k, x.o AS o,"
         " aggregate(x.o, 0D, (b, o) -> b + (o - x.n / x.k) * (o - x.n / x.k) / (x.n / x.k)) AS chi,"
-        " aggregate(x.y, 0D, (b, v) -> b + v) / x.n AS mean,"
-        " cast(size(filter(x.y, v -> v >= x.k / 2)) AS double) AS hi,"
-        " 1D + size(filter(sequence(1, size(x.y) - 1), i -> (x.y[i] >= x.k / 2) != (x.y[i - 1] >= x.k / 2))) AS runs))"
+        " aggregate(transform(x.o, (o, i) -> o * i), 0D, (b, v) -> b + v) / x.n AS mean,"
+        " cast(length(replace(x.half, 'L', '')) AS double) AS hi,"
+        " cast(regexp_count(x.half, 'L++|H++') AS double) AS runs))"
     )
     a = (
         f"transform({a}, x -> struct(x.s AS s, x.e AS e, x.lam AS lam, x.n AS n, x.k AS k, x.chi AS chi, x.runs AS runs,"
         " 1 + 2 * x.hi * (x.n - x.hi) / x.n AS runs_mean,"
         " 2 * x.hi * (x.n - x.hi) * (2 * x.hi * (x.n - x.hi) - x.n) / (x.n * x.n * (x.n - 1)) AS runs_var,"
-        " aggregate(sequence(1, size(x.y) - 1), 0D, (b, i) -> b + (x.y[i] - x.mean) * (x.y[i - 1] - x.mean)) AS cov,"
-        " aggregate(x.y, 0D, (b, v) -> b + (v - x.mean) * (v - x.mean)) AS ss))"
+        " aggregate(split(x.v, ''), struct(cast(NULL AS double) AS y, 0D AS cov), (b, c) -> struct(instr(x.d, c) - 1 - x.mean AS y,"
+        " b.cov + coalesce(b.y * (instr(x.d, c) - 1 - x.mean), 0D) AS cov), b -> b.cov) AS cov,"
+        " aggregate(transform(x.o, (o, i) -> o * (i - x.mean) * (i - x.mean)), 0D, (b, v) -> b + v) AS ss))"
     )
     # Wilson-Hilferty for chi-squared; a token without two halves or any variance can't be random.
     chi_z = "((power(x.chi / (x.k - 1), 1 / 3D) - (1 - 2 / (9 * (x.k - 1)))) / sqrt(2 / (9 * (x.k - 1))))"
@@ -128,12 +148,19 @@ def _tests(c: str) -> str:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, t (the text, never null), ``base`` and all ``spans``: arrays of (s, k, e), k the place in KINDS, by start and kind."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = once(d, "doc_id", "t", base=F.expr(f"concat({_find(ASSIGN, 0, 2, VALUE)}, {_find(ACCESS, 1)}, {_find(HEX, 2)})"), tokens=F.expr(_find(TOKEN, 3)))
-    mixed = f"x.m RLIKE {_q(MIXED)}"
-    parts = f"array_distinct(concat({', '.join(_find(p, 3) for p in PARTS)}))"
-    apart = f"concat(filter(tokens, x -> NOT {mixed}), filter({parts}, y -> exists(tokens, x -> x.s <= y.s AND y.e <= x.e AND {mixed})))"
-    d = once(d, "doc_id", "t", "base", tokens=F.when(F.expr(f"exists(tokens, x -> {mixed})"), F.expr(apart)).otherwise(F.col("tokens")))
-    d = d.select("doc_id", "t", "base", F.expr("filter(tokens, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))").alias("tokens"))
+    base = f"concat({_find('t', ASSIGN, 0, 2, VALUE)}, {_find('t', ACCESS, 1)}, {_find('t', HEX, 2)})"
+    d = once(d, "doc_id", "t", base=F.expr(base), tokens=F.expr(_find("t", TOKEN, 3)))
+    mixed = f"(x.m RLIKE {_q(MIXED[0])} AND x.m RLIKE {_q(MIXED[1])})"
+    parts = f"transform(array_distinct(concat({', '.join(_find('q.m', p, 3) for p in PARTS)})), y -> struct(q.s + y.s AS s, q.s + y.e AS e, y.k AS k, y.m AS m))"
+    apart = f"concat(filter(tokens, x -> NOT {mixed}), flatten(transform(filter(tokens, x -> {mixed}), q -> {parts})))"
+    d = once(
+        d, "doc_id", "t", "base",
+        tokens=F.when(F.expr(f"exists(tokens, x -> {mixed})"), F.expr(apart)).otherwise(F.col("tokens")),
+        begin=F.expr("sort_array(transform(base, x -> x.s))"), end=F.expr("sort_array(transform(base, x -> x.e))"),
+    )
+    # Base spans that begin before a token's end, less those that end by its begin, are those that overlap it.
+    free = f"filter(tokens, x -> {_below('begin', 'x.e')} = {_below('end', 'x.s + 1')})"
+    d = once(d, "doc_id", "t", "base", tokens=F.when(F.size("base") == 0, F.col("tokens")).otherwise(F.expr(free)))
     d = once(d, "doc_id", "t", "base", tested=F.when(F.size("tokens") > 0, F.expr(_tests("tokens"))))
     # Weighted Benjamini-Hochberg within the document: p / weight, sorted, against rank * FDR / m.
     weighted = (
@@ -166,16 +193,21 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are replaced together. ``n_chars`` follows the new text where there is one.
     """
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    row = docs.select(F.struct(*docs.columns).alias("doc"))
-    s = scan(row.select("doc", F.col("doc.text").alias("text")), doc_id="doc")
-    cut = (
-        f"aggregate(spans, struct(0 AS pos, '' AS out), (a, x) -> CASE WHEN x.s >= a.pos"
-        f" THEN struct(greatest(x.e, a.pos) AS pos, concat(a.out, substring(t, a.pos + 1, x.s - a.pos), '{mark}') AS out)"
-        " ELSE struct(greatest(x.e, a.pos) AS pos, a.out AS out) END, a -> concat(a.out, substring(t, a.pos + 1)))"
+    row = docs.select(whole_row(docs).alias("row"))
+    s = scan(row.select("row", F.col("row").getField("text").alias("text")), doc_id="row").withColumnRenamed("doc_id", "row")
+    # Text is cut out of blocks of code points, as a substring is found by walking from its string's start.
+    ends = _running("transform(spans, x -> x.e)", "greatest(v, w)")
+    s = once(s, "row", "t", spans=F.col("spans"), ends=F.when(F.size("spans") > 0, F.expr(ends)), blocks=F.when(F.size("spans") > 0, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    heads = "filter(sequence(0, size(spans) - 1), i -> i = 0 OR spans[i].s >= ends[i - 1])"
+    part = (  # from x.a on, before x.b
+        f"array_join(transform(CASE WHEN x.a < x.b THEN sequence(x.a div {BLOCK}, (x.b - 1) div {BLOCK}) ELSE cast(array() AS array<bigint>) END, b ->"
+        f" substring(blocks[b], cast(greatest(x.a - b * {BLOCK}, 0L) + 1 AS int), cast(least(x.b - b * {BLOCK}, {BLOCK}L) - greatest(x.a - b * {BLOCK}, 0L) AS int))), '')"
     )
-    text = F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("doc_id.text")).alias("text")
-    out = s.select(*[F.col("doc_id").getField(c).alias(c) for c in kept], text, F.col("doc_id").alias("_doc"))
+    gaps = f"transform({heads}, i -> struct(CASE WHEN i = 0 THEN 0 ELSE ends[i - 1] END AS a, spans[i].s AS b))"
+    tail = "array(struct(ends[size(ends) - 1] AS a, length(t) AS b))"
+    cut = F.concat_ws(mark, F.expr(f"transform(concat({gaps}, {tail}), x -> {part})"))
+    s = once(s, "row", text=F.when(F.size("spans") > 0, cut).otherwise(F.col("row").getField("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("_doc.n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return s.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
