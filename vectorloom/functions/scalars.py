@@ -22,6 +22,12 @@ def canvas_size(w: Column, h: Column, max_w: Column, max_h: Column, dpi: Column,
     return clamp(js_round(w1 * f2)), clamp(js_round(h1 * f2))
 
 
+def finite_matrix(m: Column) -> Column:
+    """Six numbers of a transform; what isn't finite becomes the identity's."""
+    same = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)])
+    return F.transform(m, lambda v, i: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.get(same, i)).otherwise(v))
+
+
 def u_le(content: Column, offset: int, size: int) -> Column:
     """Unsigned little-endian integer at a byte offset, as long; null past the end."""
     h = [F.hex(F.substring(content, offset + i + 1, 1)) for i in reversed(range(size))]

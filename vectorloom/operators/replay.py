@@ -67,7 +67,9 @@ def inverted(color: str) -> str:
 
 def rop_color(mode: int, color: str) -> str:
     kind = K.ROP2.get(mode, K.ROP2[13])[1]
-    return {"black": "#000000", "white": "#ffffff", "transparent": "transparent", "invert": inverted(color)}.get(kind, color)
+    if kind == "invert":
+        return inverted(color)
+    return {"black": "#000000", "white": "#ffffff", "transparent": "transparent"}.get(kind, color)
 
 
 EMF_HANDLERS: dict[int, tuple[int, Callable]] = {}
@@ -942,14 +944,26 @@ def display_list(files: DataFrame, dpi: float = 1.0, max_records: int | None = N
     """Files with headers to display list rows; files that can't be rendered have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema()
+        image = schema.get_field_index("image")
+        rows: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             for path, content, kind, b, head, w, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if content is None or b is None:
                     continue
                 ops = replay(content, kind, (b["left"], b["top"], b["right"], b["bottom"]), (w, h), head, dpi, max_records, fonts)
-                for lo in range(0, len(ops), 5000):
-                    rows = [row(path, lo + i, o) for i, o in enumerate(ops[lo : lo + 5000])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                for i, o in enumerate(ops):
+                    rows.append(row(path, i, o))
+                    held += len(rows[-1][image] or b"")
+                    if len(rows) >= 5000 or held > 16 << 20:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
 
     return files.select("path", "content", "kind", "bounds", "header_size", "canvas_w", "canvas_h").mapInArrow(run, SCHEMA)
 

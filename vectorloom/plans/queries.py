@@ -124,3 +124,12 @@ def diagnostics_by_message(spark, d):
 
     files = t(spark, d, "nation").select("n_nationkey", "n_regionkey").mapInArrow(build, "path string, content binary")
     return diagnostics(with_headers(files)).groupBy("stream", "message").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '1.0' ELSE p_size || '.0' END || ',0.0,' || CASE WHEN p_size % 3 = 0 THEN '0.0' ELSE '2.5' END || ',1.0,' || p_size || '.5,0.0' AS m FROM part")
+def finite_matrices(spark, d):
+    """Transforms with numbers that aren't finite, or missing."""
+    z = F.col("p_size")
+    bad = lambda c, v, other: F.when(c, F.lit(float(v))).otherwise(other)
+    m = F.array(bad(z % 5 == 0, "nan", z.cast("double")), F.lit(0.0), bad(z % 3 == 0, "-inf", F.lit(2.5)), F.lit(None).cast("double"), z + 0.5, F.lit(float("inf")))
+    return t(spark, d, "part").select("p_partkey", F.array_join(S.finite_matrix(m), ",").alias("m"))
