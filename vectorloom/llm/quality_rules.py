@@ -45,67 +45,50 @@ def mask(policy: str) -> int:
     return sum(BIT[r] for r in POLICIES[policy])
 
 
-def split_words(text: Column) -> Column:
-    """Maximal runs of characters other than space, tab, LF, VT, FF and CR."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
-
-
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the measurements, each an exact count over the whole text."""
+    """doc_id and the measurements, each an exact count over the whole text.
+
+    A three-word window is one long: the high bits of its hash over its position. Sorted, equal
+    windows are neighbours; where neighbours of one hash differ in words, or positions don't fit,
+    the windows are sorted by their words instead. One expression binds the words and the sorted
+    windows in turn, so none of them is copied into a row.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = once(d, "doc_id", "t", w=split_words(F.col("t")))
-    # A three-word window is one long: the high bits of its hash over its position. Sorted, equal windows are
-    # neighbours; where neighbours of one hash differ in words, the windows are sorted by their words instead.
-    equal = "(w[{a}] = w[{b}] AND w[{a} + 1] = w[{b} + 1] AND w[{a} + 2] = w[{b} + 2])"
-    at = lambda i: f"cast(s[{i}] & {(1 << PLACE) - 1}L AS int)"
-    by_hash = f"size(w) BETWEEN 4 AND {1 << PLACE}"
-    d = once(
-        d,
-        "doc_id",
-        "w",
-        n_words=F.size("w").cast("long"),
-        word_chars=F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)),
-        n_symbols=(F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
-        n_upper=F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long"),
-        lines=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        s=F.expr(
-            f"CASE WHEN {by_hash} THEN sort_array(transform(sequence(0, size(w) - 3),"
-            f" i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {PLACE}) | i)) END"
-        ),
+    place = lambda i: f"cast(x.s[{i}] & {(1 << PLACE) - 1}L AS int)"
+    same = " AND ".join(f"x.w[{place('i')} + {j}] = x.w[{place('i - 1')} + {j}]" for j in range(3))
+    windows = f"sort_array(transform(sequence(0, size(x.w) - 3), i -> shiftleft(xxhash64(x.w[i], x.w[i + 1], x.w[i + 2]), {PLACE}) | i))"
+    near = f"filter(sequence(1, size(x.s) - 1), i -> shiftright(x.s[i], {PLACE}) = shiftright(x.s[i - 1], {PLACE}))"
+    by_hash = f"transform(x.near, i -> array({place('i - 1')}, {place('i')}))"
+    by_words = (
+        "flatten(transform(array(sort_array(transform(sequence(0, size(x.w) - 3), i -> struct(concat_ws(' ', x.w[i], x.w[i + 1], x.w[i + 2]) AS g, i AS p)))),"
+        " g -> transform(filter(sequence(1, size(g) - 1), i -> g[i].g = g[i - 1].g), i -> array(g[i - 1].p, g[i].p))))"
     )
-    near = f"filter(sequence(1, size(s) - 1), i -> shiftright(s[i], {PLACE}) = shiftright(s[i - 1], {PLACE}))"
-    d = once(d, "doc_id", "w", "n_words", "word_chars", "n_symbols", "n_upper", "lines", "s", near=F.when(F.col("s").isNotNull(), F.expr(near)))
-    differ = F.expr(f"exists(near, i -> NOT {equal.format(a=at('i'), b=at('i - 1'))})")
-    words = (
-        "sort_array(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g, i AS p)))"
+    starts = (
+        f"CASE WHEN size(x.w) < 4 OR size(x.near) = 0 THEN cast(array() AS array<int>)"
+        f" ELSE sort_array(array_distinct(flatten(CASE WHEN x.s IS NULL OR exists(x.near, i -> NOT ({same})) THEN {by_words} ELSE {by_hash} END))) END"
     )
+    # Three words from each repeated window on, less what the next one covers.
+    covered = "CASE WHEN size(x.starts) = 0 THEN 0 ELSE aggregate(sequence(0, size(x.starts) - 1), 3, (a, i) -> a + CASE WHEN i > 0 THEN least(3, x.starts[i] - x.starts[i - 1]) ELSE 0 END) END"
+    steps = [
+        f"filter(split(t, r'{SPACES}'), w -> w <> '') AS w",
+        f"x.w AS w, CASE WHEN size(x.w) BETWEEN 4 AND {1 << PLACE} THEN {windows} END AS s",
+        f"x.w AS w, x.s AS s, CASE WHEN x.s IS NOT NULL THEN {near} END AS near",
+        f"x.w AS w, {starts} AS starts",
+        f"cast(size(x.w) AS bigint) AS n_words, coalesce(aggregate(x.w, 0L, (a, w) -> a + length(w)), 0L) AS word_chars, cast({covered} AS bigint) AS n_repeat_words",
+    ]
+    words = f"array(struct({steps[0]}))"
+    for step in steps[1:]:
+        words = f"transform({words}, x -> struct({step}))"
+    lines = "transform(array(filter(split(t, '\\n'), y -> y RLIKE r'[^\\x20\\x09-\\x0D]')), y -> struct(cast(size(y) AS bigint) AS n_lines, cast(size(y) - size(array_distinct(y)) AS bigint) AS n_dup_lines))[0]"
     d = once(
-        d,
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "lines",
-        first=F.when(F.size("w") < 4, None)
-        .when(F.col("s").isNotNull() & ~differ, F.expr(f"sort_array(array_distinct(flatten(transform(near, i -> array({at('i - 1')}, {at('i')})))))"))
-        .otherwise(
-            F.expr(
-                f"sort_array(array_distinct(flatten(transform(array({words}), g -> flatten(transform("
-                "filter(sequence(1, size(g) - 1), i -> g[i].g = g[i - 1].g), i -> array(g[i - 1].p, g[i].p)))))))"
-            )
-        ),
-    )
-    return once(
         d,
         "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_upper",
-        n_lines=F.size("lines").cast("long"),
-        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        # Three words from each repeated window on, less what the next one covers.
-        n_repeat_words=F.expr(
-            "CASE WHEN first IS NULL OR size(first) = 0 THEN 0"
-            " ELSE aggregate(sequence(1, size(first) - 1), 3, (a, i) -> a + CASE WHEN i < size(first) AND i > 0 THEN least(3, first[i] - first[i - 1]) ELSE 0 END) END"
-        ).cast("long"),
+        m=F.expr(f"{words}[0]"),
+        n_symbols=(F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
+        n_upper=F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long"),
+        y=F.expr(lines),
     )
+    return d.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_upper", "y.n_lines", "y.n_dup_lines", "m.n_repeat_words")
 
 
 def _fails() -> dict[str, Column]:
