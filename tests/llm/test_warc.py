@@ -43,19 +43,36 @@ def test_archives_are_valid_and_payloads_come_back(spark, tmp_path):
     pages = fixture()
     path = str(tmp_path / "warc")
     warc.write(spark.createDataFrame(pages, PAGE).repartition(2), path)
-    n = 0
+    n, responses, revisits = 0, {}, []
     for f in (tmp_path / "warc").glob("*.gz"):
         b, at = gzip.open(f).read(), 0
         while at < len(b):  # an independent walk by Content-Length
             head, _, _ = b[at:].partition(b"\r\n\r\n")
             assert head.startswith(b"WARC/1.1\r\nWARC-Type: ")
-            size = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            size = int(fields[b"Content-Length"])
+            if fields[b"WARC-Type"] == b"response":
+                responses[fields[b"WARC-Record-ID"]] = fields
+            elif fields[b"WARC-Type"] == b"revisit":
+                revisits.append(fields)
             at += len(head) + 4 + size
             assert b[at : at + 4] == b"\r\n\r\n"
             at, n = at + 4, n + 1
-    assert n == 3 * len(pages)
+    assert n == 3 * len(pages) and len(responses) + len(revisits) == len(pages) and revisits
+    for f in revisits:  # to a stored response of the same payload
+        to = responses[f[b"WARC-Refers-To"]]
+        assert (to[b"WARC-Payload-Digest"], to[b"WARC-Page-ID"]) == (f[b"WARC-Payload-Digest"], f[b"WARC-Refers-To-Page-ID"])
     got = warc.assemble(warc.read_records(spark, path)).collect()
     assert len(got) == len(pages) and all(r.request and r.metadata for r in got)
     stored = {bytes(r.response.payload) for r in got if r.response.type == "response"}
     assert stored == {(h or "").encode() for _, _, h in pages}
     assert all(r.response.declared_digest == r.response.payload_digest for r in got)
+
+
+def test_part_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 10)
+    pages = fixture()
+    warc.write(spark.createDataFrame(pages, PAGE).coalesce(1), str(tmp_path / "warc"))
+    assert len(list((tmp_path / "warc").glob("*.gz"))) >= 3 * len(pages) // 10
+    got = warc.assemble(warc.read_records(spark, str(tmp_path / "warc"))).collect()
+    assert len(got) == len(pages) and all(r.request and r.metadata for r in got)

@@ -1,9 +1,11 @@
 """WARC archives: one transaction of request, response and metadata records per page.
 
 Writing. The text writer's line separator is the blank line pair that ends a WARC record, so a
-row of the writer is exactly one record and each part file is a valid gzip-compressed archive.
-Pages with equal payloads are found by digest (a map-side combined minimum) and written as
-``revisit`` records that refer to the first page.
+row of the writer is exactly one record and each part file is a valid gzip-compressed archive of
+``PART`` records at most (one gzip member, so it is read from its start).
+Pages with equal payloads are found by digest (a map-side combined minimum, written before the
+pages meet it, so that the pages of one digest can be split) and written as ``revisit`` records
+that refer to the first page's response.
 
 Reading. The text reader splits on the same blank lines; as gzip files aren't split, one task
 sees a file's pieces in order and joins them again up to ``Content-Length``. It holds one
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import map_arrow, shared_dir, spool
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
 #: Equal payloads of fewer bytes are stored again.
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
+#: Records of a part file, which one task reads.
+PART = 30_000
 
 
 def _urn(kind: str, key: Column) -> Column:
@@ -47,21 +51,23 @@ def _clean(x: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, bytes, digest and refers_to."""
+    """page_id, url, html, bytes, digest, txn, refers_to and refers_txn (of the page that it refers to)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), _clean(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
+    # Unique also among rows with one page_id: it is a digest of the whole row and its place.
+    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest", F.monotonically_increasing_id().cast("string"))
+    p = p.withColumn("txn", F.md5(key))
     groups = p.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest")
-    first = groups.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = F.when((F.col("bytes") >= least) & (F.col("first_id") < F.col("page_id")), F.col("first_id"))
-    return p.join(first, "digest", "left").select("page_id", "url", "html", "bytes", "digest", refers.alias("refers_to"))
+    first = groups.agg(F.min(F.struct("page_id", "txn")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = spool(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.txn").alias("first_txn")), "payloads")
+    again = (F.col("bytes") >= least) & (F.col("first_id") < F.col("page_id"))
+    out = p.join(first, "digest", "left")
+    return out.select("page_id", "url", "html", "bytes", "digest", "txn", F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_txn")).alias("refers_txn"))
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The text of each record up to its ending blank lines: three rows per page."""
     p = with_revisits(pages, least)
-    # Unique also among rows with one page_id: it is a digest of the whole row and its place.
-    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest", F.monotonically_increasing_id().cast("string"))
-    p = p.withColumn("txn", F.md5(key))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(END)
     )
@@ -82,6 +88,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         [
             ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
+            ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("refers_txn")))),
             ("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
@@ -105,7 +112,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Part files of gzip-compressed WARC records under ``path``."""
-    records(pages, least).write.option("lineSep", END).option("compression", "gzip").text(path)
+    records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PART).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -175,7 +182,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
             yield flush(rows)
 
     pieces = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file"))
-    return pieces.mapInArrow(parse, RECORD)
+    return map_arrow(pieces, parse, RECORD)
 
 
 def assemble(recs: DataFrame) -> DataFrame:
