@@ -51,5 +51,41 @@ def test_chain_uses_earlier_predictions():
     rows = [np.unique(np.r_[r.integers(1000, 2000, 5), [1] if t else [2]]) for t in y]
     first, second = toxicity.fit_chain(rows, np.stack([y, y], 1))
     assert second.earlier[0] > 0.2
-    z = first.logit(rows, np.zeros((400, 0)))
-    assert ((second.logit(rows, z[:, None]) > 0) == (y == 1)).mean() > 0.95
+    p = toxicity.probability(first.logit(rows, np.zeros((400, 0))))
+    assert ((second.logit(rows, p[:, None]) > 0) == (y == 1)).mean() > 0.95
+
+
+def test_copies_share_a_fold():
+    """Each text twice, with labels of no pattern: were copies in two folds, the first category's predictions would give the second away."""
+    r = np.random.default_rng(3)
+    y = np.repeat(r.integers(0, 2, 200), 2)
+    rows = [np.unique(x) for x in np.repeat(r.integers(1, 10**6, (200, 8)), 2, 0)]
+    _, second = toxicity.fit_chain(rows, np.stack([y, y], 1))
+    assert second.earlier[0] < 0.5
+
+
+def test_scores_against_the_chain_by_hand(spark):
+    pairs, labels = made(300)
+    d = docs(spark, pairs)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    cats = ["quality", "toxic"]
+    chain = toxicity.train(d, lab, cats)
+    for r in toxicity.score(d, chain, cats).collect():
+        words = set(toxicity.WORD.findall(dict(pairs)[r.doc_id].lower()))
+        have = {f for w in words for f in toxicity.word_features(w)}
+        fed, want = [], []
+        for m in chain:
+            z = m.bias + sum(w for f, w in zip(m.ids.tolist(), m.weights.tolist(), strict=True) if f in have) + sum(a * b for a, b in zip(m.earlier.tolist(), fed, strict=True))
+            fed.append(1 / (1 + np.exp(-z)))
+            want.append(1 / (1 + np.exp(-z - m.shift)))
+        assert np.allclose([r.p_quality, r.p_toxic], want, atol=1e-9)
+
+
+def test_held_out_labels(spark):
+    """Half of the labels of the driver's tables train, the other half is judged."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = [p.cache() for p in lab.randomSplit([0.5, 0.5], 7)]
+    got = toxicity.query(d, half[0]).join(half[1].select("doc_id", "toxic").withColumnRenamed("toxic", "y"), "doc_id").collect()
+    hit = sum(r.toxic and r.y == 1 for r in got)
+    assert hit >= 0.8 * sum(r.y == 1 for r in got) and hit >= 0.97 * sum(r.toxic for r in got) and hit > 100
