@@ -53,10 +53,11 @@ def raster_pixel_area(spark, d):
 
 @query("SELECT s_nationkey, printf('#%02x%02x%02x', s_suppkey & 255, (s_suppkey >> 8) & 255, 7) AS fill, count(*) AS n FROM supplier GROUP BY ALL")
 def wmf_slot_reuse(spark, d):
-    """One WMF per nation; each supplier's brush takes the slot that the one before it freed."""
+    """One WMF per nation and 64 keys; each supplier's brush takes the slot that the one before it freed."""
     import struct
 
-    sup = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("x"))
+    path = F.concat_ws("/", "s_nationkey", F.expr("s_suppkey div 64"))
+    sup = t(spark, d, "supplier").groupBy(path.alias("path")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("x"))
 
     def build(batches):
         for b in batches:
@@ -70,15 +71,16 @@ def wmf_slot_reuse(spark, d):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
     ops = display_list(with_headers(sup.mapInArrow(build, "path string, content binary"))).filter("op = 'fill'")
-    return ops.groupBy(F.col("path").cast("int").alias("s_nationkey"), "fill").agg(F.count("*").alias("n"))
+    return ops.groupBy(F.substring_index("path", "/", 1).cast("int").alias("s_nationkey"), "fill").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_brand, count(*) AS n, sum(p_size * 2)::DOUBLE AS area FROM part GROUP BY p_brand")
 def emfplus_roundtrip(spark, d):
-    """One EMF+ stream per brand: scaled FillRects with an inline colour."""
+    """An EMF+ stream per brand and 64 keys: scaled FillRects with an inline colour."""
     import struct
 
-    parts = t(spark, d, "part").groupBy("p_brand").agg(F.collect_list("p_size").alias("x"))
+    path = F.concat_ws("/", "p_brand", F.expr("p_partkey div 64"))
+    parts = t(spark, d, "part").groupBy(path.alias("path")).agg(F.collect_list("p_size").alias("x"))
 
     def build(batches):
         for b in batches:
@@ -91,7 +93,7 @@ def emfplus_roundtrip(spark, d):
 
     ops = display_list(with_headers(parts.mapInArrow(build, "path string, content binary")))
     p, m = F.col("geom")[0]["p"], F.col("transform")
-    return ops.groupBy(F.col("path").alias("p_brand")).agg(F.count("*").alias("n"), F.sum(p[2] * m[0] * p[3] * m[3]).alias("area"))
+    return ops.groupBy(F.substring_index("path", "/", 1).alias("p_brand")).agg(F.count("*").alias("n"), F.sum(p[2] * m[0] * p[3] * m[3]).alias("area"))
 
 
 # Scalars

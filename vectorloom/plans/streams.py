@@ -20,7 +20,12 @@ from .drawings_plus import V, obj, plus
 from .registry import query, t
 from .render import render
 
-# Streams of one file per user: a record per event
+# Streams of a user's events, a record per event; a file has at most BLOCK of them, so no file grows with the table
+
+BLOCK = 512
+#: SQL: the events with their file, their place in it, and the number of their record type.
+_EVENTS = f"""(SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) AS i FROM (SELECT event_id, event_type, user_id || '/' || event_id // {BLOCK} AS path,
+  CASE event_type WHEN 'view' THEN 27 WHEN 'click' THEN 54 WHEN 'purchase' THEN 70 ELSE 200 END AS rtype FROM events))"""
 
 
 def _event(kind: str) -> bytes:
@@ -30,48 +35,44 @@ def _event(kind: str) -> bytes:
 
 
 def event_files(spark: SparkSession, d: str, end: bool = False) -> DataFrame:
-    """One EMF per user, its events in order; with ``end``, an error ends the stream."""
+    """One EMF per user and block of event ids, its events in order; with ``end``, an error ends the stream."""
     x = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
-    users = t(spark, d, "events").groupBy("user_id").agg(F.transform(x, lambda e: e["event_type"]).alias("x"))
+    path = F.concat_ws("/", "user_id", F.expr(f"event_id div {BLOCK}"))
+    users = t(spark, d, "events").groupBy(path.alias("path")).agg(F.transform(x, lambda e: e["event_type"]).alias("x"))
     stop = E.eof()
     return files(users, lambda r: E.emf([stop if end and e == "error" else _event(e) for e in r["x"]] + [stop]))
 
 
-_NUMBERS = "CASE event_type WHEN 'view' THEN 27 WHEN 'click' THEN 54 WHEN 'purchase' THEN 70 ELSE 200 END"
-_ENDS = "SELECT DISTINCT user_id, 'emf' AS stream, unnest([1, 14]) AS rtype, 1 AS n FROM events"
-_INNER = "SELECT user_id, 'emfplus' AS stream, unnest([16414, 20479]) AS rtype, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id"
+_ENDS = f"SELECT path, 'emf' AS stream, unnest([1, 14]) AS rtype, 1 AS n FROM (SELECT DISTINCT path FROM {_EVENTS})"
+_INNER = f"SELECT path, 'emfplus' AS stream, unnest([16414, 20479]) AS rtype, count(*) AS n FROM {_EVENTS} WHERE event_type = 'purchase' GROUP BY path"
 
 
-@query(f"""SELECT user_id::BIGINT AS user_id, stream, rtype, n::BIGINT AS n FROM (
-  SELECT user_id, 'emf' AS stream, {_NUMBERS} AS rtype, count(*) AS n FROM events GROUP BY ALL UNION ALL {_ENDS} UNION ALL {_INNER})""")
+@query(f"""SELECT path, stream, rtype, n::BIGINT AS n FROM (
+  SELECT path, 'emf' AS stream, rtype, count(*) AS n FROM {_EVENTS} GROUP BY ALL UNION ALL {_ENDS} UNION ALL {_INNER})""")
 def stream_histogram(spark, d):
     """Records by file, stream and type; EMF+ records are found in comments."""
-    h = histogram(records(with_headers(event_files(spark, d))))
-    return h.select(F.col("path").cast("long").alias("user_id"), "stream", "rtype", "n")
+    return histogram(records(with_headers(event_files(spark, d))))
 
 
-@query(f"""SELECT user_id::BIGINT AS user_id, stream, rtype, n::BIGINT AS n FROM (
-  SELECT user_id, 'emf' AS stream, {_NUMBERS} AS rtype, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY ALL
-  UNION ALL SELECT user_id, 'emfplus' AS stream, 20479 AS rtype, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id)""")
+@query(f"""SELECT path, stream, rtype, n::BIGINT AS n FROM (
+  SELECT path, 'emf' AS stream, rtype, count(*) AS n FROM {_EVENTS} WHERE rtype = 200 GROUP BY ALL
+  UNION ALL SELECT path, 'emfplus' AS stream, 20479 AS rtype, count(*) AS n FROM {_EVENTS} WHERE event_type = 'purchase' GROUP BY path)""")
 def stream_unhandled(spark, d):
     """Records of types that nothing handles."""
-    h = histogram(unhandled(records(with_headers(event_files(spark, d)))))
-    return h.select(F.col("path").cast("long").alias("user_id"), "stream", "rtype", "n")
+    return histogram(unhandled(records(with_headers(event_files(spark, d)))))
 
 
 _CAP = 4
 
 
-@query(f"""SELECT user_id::BIGINT AS user_id, stream, level, message, count(*) AS n FROM (
-  SELECT user_id, 'emf' AS stream, 'warn' AS level, 'record limit reached' AS message FROM events GROUP BY user_id HAVING count(*) + 2 >= {_CAP}
-  UNION ALL SELECT user_id, 'emf', 'warn', 'unhandled record type 200' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
-    WHERE event_type NOT IN ('view', 'click', 'purchase') AND i < {_CAP}
-  UNION ALL SELECT user_id, 'emfplus', 'warn', 'unhandled record type 20479' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
-    WHERE event_type = 'purchase' AND i < {_CAP}) GROUP BY ALL""")
+@query(f"""SELECT path, stream, level, message, count(*) AS n FROM (
+  SELECT path, 'emf' AS stream, 'warn' AS level, 'record limit reached' AS message FROM {_EVENTS} GROUP BY path HAVING count(*) + 2 >= {_CAP}
+  UNION ALL SELECT path, 'emf', 'warn', 'unhandled record type 200' FROM {_EVENTS} WHERE rtype = 200 AND i < {_CAP}
+  UNION ALL SELECT path, 'emfplus', 'warn', 'unhandled record type 20479' FROM {_EVENTS} WHERE event_type = 'purchase' AND i < {_CAP}) GROUP BY ALL""")
 def stream_caps(spark, d):
     """Diagnostics of streams cut at four records; the EMF+ stream of a comment has two and isn't cut."""
     out = diagnostics(with_headers(event_files(spark, d)), max_records=_CAP)
-    return out.groupBy(F.col("path").cast("long").alias("user_id"), "stream", "level", "message").agg(F.count("*").alias("n"))
+    return out.groupBy("path", "stream", "level", "message").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey::BIGINT AS k, 2 AS n_emf, least(2 + p_size % 5, 3) AS n_plus, CASE WHEN 2 + p_size % 5 >= 3 THEN 1 ELSE 0 END AS n_limit FROM part""")
@@ -88,12 +89,10 @@ def stream_cap_of_comments(spark, d):
     return out.select(F.col("path").cast("long").alias("k"), F.col("n_emf").cast("int").alias("n_emf"), F.col("n_plus").cast("int").alias("n_plus"), F.coalesce("n_limit", F.lit(0)).cast("int").alias("n_limit"))
 
 
-@query("""SELECT user_id::BIGINT AS user_id, (coalesce(min(CASE WHEN event_type = 'error' THEN i END), max(i) + 1) + 1)::BIGINT AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) GROUP BY user_id""")
+@query(f"SELECT path, (coalesce(min(CASE WHEN event_type = 'error' THEN i END), max(i) + 1) + 1)::BIGINT AS n FROM {_EVENTS} GROUP BY path")
 def stream_terminator(spark, d):
     """Framing stops at the first end record."""
-    recs = records(with_headers(event_files(spark, d, end=True))).filter("stream = 'emf'")
-    return recs.groupBy(F.col("path").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+    return records(with_headers(event_files(spark, d, end=True))).filter("stream = 'emf'").groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey::BIGINT AS k, (2 + p_size % 4)::BIGINT AS n, CASE p_partkey % 3 WHEN 0 THEN 3 ELSE 2 END::BIGINT AS n_wmf FROM part""")
