@@ -169,7 +169,8 @@ def inherit(files: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     up = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above")).join(own, "above")
     nearest = up.groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "given")).alias("x")).select("dir", F.col("x.above").alias("from_dir"), F.col("x.given").alias("given"))
-    out = f.join(nearest, "dir", "left")
+    # Written first, so that the files of one directory can be split when they meet it.
+    out = f.join(spool(nearest, "directories"), "dir", "left")
     none = F.col("licence").isNull()
     return out.withColumn("effective", F.coalesce("licence", "given")).withColumn("inherited_from", F.when(none, F.col("from_dir"))).drop("dir", "given", "from_dir")
 
