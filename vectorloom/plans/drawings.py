@@ -291,7 +291,7 @@ def _shapes(r: dict) -> bytes:
     k, z = r["k"], r["z"]
     arc = (0, 0, 40, 20, z, k % 97, k % 89, z)
     return drawing(
-        rec(15, "iiI", z, 1, k & 0xFFFFFF), rec(27, "ii", 3, z), rec(54, "ii", z, 4), E.rectangle(z, 1, 2, k % 5), rec(44, "6i", 30, 20, 0, 0, z, 8), rec(42, "4i", 0, 0, z, 9),
+        rec(21, "I", 3), rec(58, "I", 10), rec(15, "iiI", z, 1, k & 0xFFFFFF), rec(27, "ii", 3, z), rec(54, "ii", z, 4), E.rectangle(z, 1, 2, k % 5), rec(44, "6i", 30, 20, 0, 0, z, 8), rec(42, "4i", 0, 0, z, 9),
         rec(45, "8i", *arc), rec(46, "8i", *arc), rec(47, "8i", *arc), rec(55, "8i", *arc), rec(54, "ii", 0, 0),
     )
 
@@ -311,7 +311,7 @@ _RADIUS, _Q = "least(z / 2.0, 4.0)", math.pi / 2
     stroke("M", *_FROM, *_ARC), stroke("M", "k % 89", "z", "L", 0, 0),
 ]))
 def gdi_shapes(spark, d):
-    """Pixels, lines, rectangles, rounded ones, ellipses and the four kinds of arcs."""
+    """Pixels, lines, rectangles, rounded ones, ellipses and the four kinds of arcs, after state that changes nothing."""
     return lines(files(parts(spark, d), _shapes))
 
 

@@ -169,6 +169,20 @@ def png_bytes(spark, d):
     return out.select(F.col("path").cast("long").alias("id"), F.substring_index("data_url", ",", 1).alias("head"), F.substring(_hex(F.col("data_url")), 1, 58).alias("png"), "painted")
 
 
+@query("""SELECT p_partkey::BIGINT AS id, (w * 5 - greatest(0, least(w, 4) - 2) * 2 + CASE WHEN p_partkey % 2 = 1 THEN 3 ELSE 0 END)::BIGINT AS painted
+  FROM (SELECT p_partkey, p_size % 16 AS w FROM part)""")
+def painted_clips(spark, d):
+    """Painted pixels under GDI clips that intersect and exclude, and beside them those under an EMF+ clip with a gradient."""
+
+    def build(r):
+        gradient = V + struct.pack("<IIIffffII8x", 4, 0, 0, 16, 6, 4, 2, 0xFF000000, 0xFFFFFFFF)
+        use = plus(obj(1, 1, gradient), E.plus_record(0x4032, 0, struct.pack("<4f", 16, 6, 3, 1)), E.plus_record(0x400A, 0, struct.pack("<II4f", 1, 1, 16, 6, 4, 2)))
+        clips = [E.emf_record(30, struct.pack("<4i", 0, 0, r["z"] % 16, 5)), E.emf_record(29, struct.pack("<4i", 2, 1, 4, 3))]
+        return E.emf([E.select(0x80000008), *clips, E.rectangle(0, 0, 20, 8), *([use] if r["k"] % 2 else []), E.eof()], (0, 0, 20, 8))
+
+    return render(files(parts(spark, d), build)).select(F.col("path").cast("long").alias("id"), "painted")
+
+
 @query("SELECT n_nationkey::BIGINT AS id, 800 AS width, 600 AS height, (10 * (n_nationkey + 1))::BIGINT AS painted FROM nation")
 def plain_wmf(spark, d):
     """WMFs without a placeable header, known by their names, on the default canvas."""
