@@ -21,7 +21,7 @@ U = np.uint64
 GOLDEN, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 #: Bytes and rows of text handled at once; one longer document is handled whole.
-CHUNK, CHUNK_ROWS = 2 << 20, 4096
+CHUNK, CHUNK_ROWS = 1 << 20, 4096
 #: Bytes of a word that its two longs hold as they are.
 PLAIN = 15
 
