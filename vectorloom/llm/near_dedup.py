@@ -49,6 +49,10 @@ SLACK = 6.5
 SMALL, SIDE, SIDE_BYTES = 32, 1024, 16 << 20
 
 
+#: Bits of a document's number within a piece of rows, which has CHUNK_ROWS at most.
+DOC_BITS = 12
+
+
 def multipliers(n: int) -> np.ndarray:
     """n odd multipliers from a fixed seed."""
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -69,8 +73,11 @@ def shingle_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nda
             second.append(b[w.first[few]])
             doc.append(few)
     h, h2, d = np.concatenate(first), np.concatenate(second), np.concatenate(doc)
-    order = np.lexsort((h, d))
-    if len(h) and ((h[order][1:] == h[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+    # One long of the document and the first bits of the fingerprint sorts all but those that agree in them.
+    order = np.argsort(d.astype(U) << U(64 - DOC_BITS) | h >> U(DOC_BITS)) if d.max(initial=0) < 1 << DOC_BITS else np.lexsort((h, d))
+    x, y = h[order], h2[order]
+    near = (d[order][1:] == d[order][:-1]) & (x[1:] >> U(DOC_BITS) == x[:-1] >> U(DOC_BITS))
+    if (near & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))).any():
         order = np.lexsort((h2, h, d))
     h, h2, d = h[order], h2[order], d[order]
     new = np.ones(len(h), bool)
@@ -293,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = map_arrow(few.repartition("key").sortWithinPartitions("key"), lambda x: _across(x, n_hashes, percent, False), "a long, b long").distinct()
     many = rest.filter(F.col("m") > SMALL)
     sets = sets_of(many.select("id").distinct())
-    nb = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(8 * F.col("total") / SIDE_BYTES)).cast("int")
+    nb = F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(16 * F.col("total") / SIDE_BYTES)).cast("int")
     many = many.join(classes.select("id", "sig", "bands").join(sets, "id"), "id").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     dealt = many.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
