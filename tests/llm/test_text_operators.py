@@ -116,9 +116,10 @@ def variants(r, n, words, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("small,side", [(32, 1024), (2, 7)])
-def test_near_duplicates(spark, monkeypatch, small, side):
-    """The second case takes buckets of three and more through blocks of about seven members."""
+@pytest.mark.parametrize("small,side,size", [(32, 1024, 16 << 20), (2, 7, 16 << 20), (2, 1024, 6000)])
+def test_near_duplicates(spark, monkeypatch, small, side, size):
+    """The other cases take buckets of three and more through blocks of about seven members, or of a few sets' bytes."""
+    monkeypatch.setattr(near_dedup, "SIDE_BYTES", size)
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "SIDE", side)
     r = random.Random(8)
@@ -282,11 +283,15 @@ def test_stage_helpers_keep_columns_of_any_name(spark):
         assert all(tuple(r[5:]) == tuple(range(len(ODD_NAMES))) for r in got)
 
 
-def test_rows_are_decontaminated_by_their_own_text(spark):
+@pytest.mark.parametrize("block", [4 << 20, 40])
+def test_rows_are_decontaminated_by_their_own_text(spark, block):
     item = " ".join(f"w{i}" for i in range(20))
-    b = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = decontamination.keep(docs(spark, [(None, item), (None, "clean"), (5, item), (5, "clean too"), (6, None)]), b)
+    b = spark.createDataFrame([(1, item), (2, None), (3, "another item of a few words only")], "item_id long, text string")
+    d = clashing(docs(spark, [(None, item), (None, "clean"), (5, item), (5, "clean too"), (6, None)]))
+    got = decontamination.keep(d, b, block)
+    assert got.columns == d.columns and got.dtypes == d.dtypes
     assert sorted((r.text or "") for r in got.collect()) == ["", "clean", "clean too"]
+    assert decontamination.keep(d.limit(0), b, block).count() == 0 and decontamination.keep(d, b.limit(0), block).count() == 5
 
 
 def thue_morse(n):

@@ -119,6 +119,45 @@ def frequencies(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(v[at])], ["k", "place", "n"])
 
 
+def occurrences(w: Words, block: Block, index: dict) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+    """By document: the word spans of windows that occur in it, and their items."""
+    hashes = w.hashes()
+    own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    items: dict[int, set[int]] = defaultdict(set)
+    for k, (keys, first, windows, off) in index.items():
+        at, place = present(keys, w.windows(k, hashes))
+        ok = w.left[at] >= k
+        at, place = at[ok], place[ok]
+        many = first[place + 1] - first[place]
+        row = np.repeat(first[place], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(at, many)
+        win, start = windows[row], at - off[row]
+        doc = w.doc[at]
+        fits = (start >= w.first[doc]) & (start + block.size[win] <= w.last[doc])
+        for s, i, d in zip(start[fits].tolist(), win[fits].tolist(), doc[fits].tolist(), strict=True):
+            n, a = int(block.size[i]), int(block.at[i])
+            if all(w.data[w.start[s + j] : w.end[s + j]].tobytes() == block.words[a + j] for j in range(n)):
+                own[d].append((s - int(w.first[d]), s - int(w.first[d]) + n))
+                items[d].add(int(block.item[i]))
+    return own, items
+
+
+def clean(batches: Iterator[pa.RecordBatch], text: int, block: Block, df: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows, as they are, whose text (column number ``text``) isn't contaminated by the block."""
+    index = block.prefixes(df)
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for lo, _, data, offsets in chunks(batch.column(text)):
+            w = Words(data, offsets, ALNUM, lower=True)
+            for d, spans in occurrences(w, block, index)[0].items():
+                keep[lo + d] = not contaminated(sum(b - a for a, b in merged(spans)), int(w.last[d] - w.first[d]))
+        yield batch.filter(pa.array(keep))
+
+
+def contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 SPANS = "doc_id long, th long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
 
 
@@ -129,24 +168,7 @@ def matches(batches: Iterator[pa.RecordBatch], block: Block, df: dict[int, np.nd
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column(2)):
             w = Words(data, offsets, ALNUM, lower=True)
-            hashes = w.hashes()
-            own: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[int]] = defaultdict(set)
-            for k, (keys, first, windows, off) in index.items():
-                at, place = present(keys, w.windows(k, hashes))
-                ok = w.left[at] >= k
-                at, place = at[ok], place[ok]
-                many = first[place + 1] - first[place]
-                row = np.repeat(first[place], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at = np.repeat(at, many)
-                win, start = windows[row], at - off[row]
-                doc = w.doc[at]
-                fits = (start >= w.first[doc]) & (start + block.size[win] <= w.last[doc])
-                for s, i, d in zip(start[fits].tolist(), win[fits].tolist(), doc[fits].tolist(), strict=True):
-                    n, a = int(block.size[i]), int(block.at[i])
-                    if all(w.data[w.start[s + j] : w.end[s + j]].tobytes() == block.words[a + j] for j in range(n)):
-                        own[d].append((s - int(w.first[d]), s - int(w.first[d]) + n))
-                        items[d].add(int(block.item[i]))
+            own, items = occurrences(w, block, index)
             pick = sorted(own) if only_hits else range(hi - lo)
             part = batch.slice(lo, hi - lo).take(pa.array(list(pick), pa.int64()))
             count = (w.last - w.first)[list(pick)]
@@ -187,16 +209,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def n_blocks(items: DataFrame, block_bytes: int) -> int:
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return math.ceil(2 * total / block_bytes) if total > block_bytes else 1
+
+
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
     """(ids, texts) of each block; the driver holds one at a time."""
     t = items.select(F.col("item_id").cast("string").alias("id"), F.col("text")).filter("text IS NOT NULL")
-    total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
+    n = n_blocks(items, block_bytes)
     for i in range(n):
         rows = (t if n == 1 else t.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)).collect()
         yield [r.id for r in rows], [r.text for r in rows]
 
 
+def rarity(docs: DataFrame, block: Block, shared) -> dict[int, np.ndarray]:
+    """Document frequencies along the block's vocabulary; the driver gets as many rows as the block has shingles at most."""
+    found = map_arrow(docs.select("text"), lambda b: frequencies(b, shared.value), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
+    df = {k: np.zeros(len(v), np.int64) for k, v in block.vocabulary.items()}
+    for r in found.collect():
+        df[r.k][r.place] = r.n
+    return df
+
+
 def hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, th (hash of the text), n_words, merged hit spans (word numbers) and items, one row per document."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -205,10 +240,7 @@ def hits(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFra
     for ids, texts in blocks(items, block_bytes):
         block = Block(ids, texts)
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = map_arrow(d.select("text"), lambda b, s=shared: frequencies(b, s.value), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
-        df = {k: np.zeros(len(v), np.int64) for k, v in block.vocabulary.items()}
-        for r in found.collect():  # as many rows as the block has shingles at most
-            df[r.k][r.place] = r.n
+        df = rarity(docs, block, shared)
         got = map_arrow(d, lambda b, s=shared, f=df, o=base is not None: matches(b, s.value, f, o), SPANS)
         if base is None:
             base = got
@@ -238,8 +270,16 @@ def query(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFr
 def keep(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """The documents that aren't contaminated, with their own columns; for use as a pipeline stage.
 
-    Each row goes or stays by its own text, also where it shares its ``doc_id`` or has none.
+    Each row goes or stays by its own text, also where it shares its ``doc_id`` or has none. With
+    one block, rows are judged where they lie and nothing is shuffled.
     """
+    if n_blocks(items, block_bytes) == 1:
+        ((ids, texts),) = blocks(items, block_bytes)
+        block = Block(ids, texts)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        df, text = rarity(docs, block, shared), docs.columns.index("text")
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # the function gets any column, whatever its name
+        return map_arrow(plain, lambda b: clean(b, text, shared.value, df), plain.schema).toDF(*docs.columns)
     bad = judged(docs, items, block_bytes).filter("contaminated").select("doc_id", "th").distinct()
     return without(docs, bad, doc_id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
 

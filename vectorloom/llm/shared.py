@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 #: Bytes of an Arrow batch that a Python function gets.
-BATCH = 8 << 20
+BATCH = 4 << 20
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -28,13 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     if given := context.getCheckpointDir():
         return given.rstrip("/")
-    if not (context.master or "").startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir("/tmp/checkpoints/vectorloom")
     return context.getCheckpointDir()
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over batches bounded by bytes, so that long texts don't make large ones.
 
     The bound is a setting of the session; one that differs from Spark's default is left alone.
