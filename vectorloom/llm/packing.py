@@ -9,8 +9,8 @@ many of each length it takes. Only where no multiset fills the window exactly is
 remainder cut to fill it. What a task has left at its end is cut at powers of two, which need
 no padding.
 
-Token ids are those of the vocabulary file's library. White space bounds its pre-tokens, so
-each white-space-free chunk and each pre-token is encoded once and remembered as packed 32-bit ids.
+Token ids are those of the vocabulary file's library. A pre-token, and a white-space-free chunk of
+other than Latin characters, is encoded once and remembered as packed 32-bit ids.
 
 Defined cases: a null text is empty and packs as the end id alone; a null ``doc_id`` is
 carried; repeated rows pack one by one; an empty table packs to no sequence; only ``doc_id``
@@ -39,7 +39,7 @@ from .token_counts import byte_alphabet
 CAPACITY, END_ID = 4096, 2
 #: Remainders that wait at most, and those left before more are read.
 POOL, LOW = 256, 128
-#: Chunks, and pre-tokens, remembered in a task since the last turnover, and as many from before it.
+#: Pre-tokens, and chunks, remembered in a task since the last turnover, and as many from before it.
 REMEMBER = 250_000
 #: White space of str.split that the pre-tokenizer takes for symbols.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -50,7 +50,7 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: The same split for lower-cased text below U+0100, where NFC changes nothing and a letter's lower case is one letter.
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+LATIN_SPLIT = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class Remembered(dict):
@@ -76,9 +76,9 @@ class Remembered(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes.
 
-    A chunk of characters below U+0100 is lower-cased and split here, and its pre-tokens go straight to the
-    vocabulary's merges; other chunks go through the whole library. So do whole texts that hold a special string,
-    and all texts where the vocabulary file has another normalizer or pre-tokenizer.
+    A text of characters below U+0100 is lower-cased and split here, and its pre-tokens go straight to the
+    vocabulary's merges; of other texts, each chunk without white space does, or goes through the whole library.
+    So do whole texts that hold a special string, and all where the vocabulary file has another normalizer or pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -113,8 +113,10 @@ class Encoder:
     def chunk_ids(self, chunk: str) -> bytes:
         if not chunk.isascii() and max(chunk) > "\xff":
             return packed(self.tok.encode(chunk, add_special_tokens=False).ids)
-        low = chunk.lower()
-        return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in LATIN_SPLIT.findall(low)])
+        return self.latin(chunk)
+
+    def latin(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, LATIN_SPLIT.findall(text.lower())))
 
     def forget(self) -> None:
         self.chunks, self.pieces = Remembered(self.chunk_ids), Remembered(self.piece_ids)
@@ -122,9 +124,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(x in text for x in (*NOT_SPACE, *self.special)):
             return packed(self.tok.encode(text, add_special_tokens=False).ids)
-        self.chunks.turn(REMEMBER)
         self.pieces.turn(REMEMBER)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            self.chunks.turn(REMEMBER)
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        return self.latin(text)
 
 
 def packed(ids: list[int]) -> bytes:
