@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from ..operators.replay import display_list
 from ..sources import encode as E
 from ..sources.metafiles import with_headers
-from .registry import query, t
+from .registry import dealt, query, t
 
 # Files from rows
 
 
 def files(df: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
-    """One file per row, by its first column; rows are built where they lie."""
+    """One file per row, by its first column."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,7 @@ def files(df: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
             out = [build(dict(zip(names, row, strict=True))) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
-    return df.mapInArrow(run, "path string, content binary")
+    return dealt(df).mapInArrow(run, "path string, content binary")
 
 
 GEOM = "array_join(transform({0}, c -> concat_ws(' ', array(c.cmd), transform(c.p, v -> cast(cast(round(v * 1000) AS bigint) AS string)))), ' ')"

@@ -13,7 +13,7 @@ from ..operators.replay import display_list
 from ..sources import encode
 from ..sources.metafiles import with_headers
 from . import drawings, drawings_plus, streams
-from .registry import QUERIES, SQL, query, t
+from .registry import QUERIES, SQL, dealt, query, t
 from .render import render
 
 __all__ = ["QUERIES", "SQL", "drawings", "drawings_plus", "streams"]
@@ -23,7 +23,7 @@ __all__ = ["QUERIES", "SQL", "drawings", "drawings_plus", "streams"]
 
 def order_files(spark: SparkSession, d: str) -> DataFrame:
     """One EMF per order: a brush by its key, and a rectangle per line item."""
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
+    lines = dealt(t(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,5 +18,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions: a file costs far more than the row it is made of, so small tables are spread too."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
